@@ -19,8 +19,19 @@ ACE_CAP = 40
 
 
 def path_part(n: int, column="file_path") -> Column:
-    """``n``-th '/'-separated part, 1-based; '' when out of range."""
-    return F.split_part(_c(column), F.lit("/"), F.lit(n))
+    """``n``-th '/'-separated part, 1-based; '' when out of range.
+
+    Same result as ``split_part(p, '/', n)``, but written with
+    ``substring_index`` (no per-row array), which is several times cheaper:
+    the part exists when at least ``n - 1`` separators precede the end.
+    """
+    c = _c(column)
+    if n < 1:
+        return F.split_part(c, F.lit("/"), F.lit(n))
+    has_part = F.length(F.substring_index(c, "/", n - 1)) < F.length(c)
+    if n == 1:
+        has_part = F.lit(True)
+    return F.when(has_part, F.substring_index(F.substring_index(c, "/", n), "/", -1)).otherwise(F.lit(""))
 
 
 def dept(column="file_path") -> Column:

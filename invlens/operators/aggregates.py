@@ -42,10 +42,28 @@ def total_of(df: DataFrame, column: str) -> Column:
 
 
 def with_share(
-    df: DataFrame, column: str, name: str = "pct", digits: int | None = 2, total: Column | None = None
+    df: DataFrame,
+    column: str,
+    name: str = "pct",
+    digits: int | None = 2,
+    total: Column | None = None,
+    bounded: bool = True,
 ) -> DataFrame:
-    """Add ``100 * column / total`` where total defaults to the column's sum over ``df``."""
-    denom = total if total is not None else total_of(df, column)
+    """Add ``100 * column / total``; total defaults to the column's sum over ``df``.
+
+    ``df`` is an aggregated result. With ``bounded`` (a group key from a
+    small fixed domain: bands, years, flag strings, owner classes,
+    departments) the total is a window over those few group rows, which
+    costs nothing extra. For a high-cardinality key pass ``bounded=False``:
+    the total becomes a scalar subquery, a second distributed aggregation
+    instead of one task holding every group.
+    """
+    if total is not None:
+        denom = total
+    elif bounded:
+        denom = F.sum(column).over(Window.partitionBy())
+    else:
+        denom = total_of(df, column)
     raw = F.try_divide(F.lit(100.0) * F.col(column), denom)
     return df.withColumn(name, raw if digits is None else half_even_round(raw, digits))
 
@@ -74,11 +92,15 @@ def _monotone_bucket(v: Column) -> Column:
     return F.when(d >= 0, pos).otherwise(neg)
 
 
-def exact_quantiles(df: DataFrame, value: Column | str, quantiles: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: Column | str, quantiles: dict[str, float], summary: bool = False
+) -> DataFrame:
     """Exact quantiles as one row, one column per entry of ``quantiles``.
 
     Each result is the element at 0-based position ``floor(q * n)`` of the
     sorted non-NULL values (``n - 1`` for ``q >= 1``), never an interpolation.
+    With ``summary`` the row also has ``n``, ``sum``, ``min`` and ``max`` of
+    the values, taken from the same histogram (no second scan).
 
     Plan, with no global sort of the data:
 
@@ -87,36 +109,47 @@ def exact_quantiles(df: DataFrame, value: Column | str, quantiles: dict[str, flo
     2. per log-scale bucket totals (bounded: at most 2 x 64 x 4096 rows) and
        their running count, which locate the bucket holding each target rank;
     3. a running count over the histogram rows of those few buckets only.
+
+    Both uses of the histogram read the same shuffle: the bucket join is
+    null-safe so no extra filter is inferred into one branch.
     """
     v = F.col(value) if isinstance(value, str) else value
     hist = df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     hist = hist.withColumn("b", _monotone_bucket(F.col("v")))
 
-    buckets = hist.groupBy("b").agg(F.sum("c").alias("bc"))
+    buckets = hist.groupBy("b").agg(
+        F.sum("c").alias("bc"),
+        F.sum(F.col("v") * F.col("c")).alias("bs"),
+        F.min("v").alias("bmin"),
+        F.max("v").alias("bmax"),
+    )
     order_w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy()
     buckets = (
         buckets.withColumn("hi", F.sum("bc").over(order_w))
-        .withColumn("n", F.sum("bc").over(Window.partitionBy()))
+        .withColumn("n", F.sum("bc").over(everything))
+        .withColumn("total", F.sum("bs").over(everything))
+        .withColumn("vmin", F.min("bmin").over(everything))
+        .withColumn("vmax", F.max("bmax").over(everything))
         .withColumn("lo", F.col("hi") - F.col("bc"))
     )
     targets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
+    rank = F.when(F.col("t.q") >= 1, F.col("n") - 1).otherwise(F.floor(F.col("t.q") * F.col("n")))
     cand = (
-        buckets.select("b", "lo", "hi", "n", F.explode(targets).alias("t"))
-        .select(
-            "b",
-            "lo",
-            F.col("t.name").alias("name"),
-            F.when(F.col("t.q") >= 1, F.col("n") - 1).otherwise(F.floor(F.col("t.q") * F.col("n"))).alias("rank"),
-            "hi",
-        )
+        buckets.select("b", "lo", "hi", "n", "total", "vmin", "vmax", F.explode(targets).alias("t"))
+        .select("b", "lo", "hi", "n", "total", "vmin", "vmax", F.col("t.name").alias("name"), rank.alias("rank"))
         .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-        .select("b", "lo", "name", "rank")
+        .drop("hi")
+        .withColumnRenamed("b", "cb")
     )
     # ``cand`` has at most one row per requested quantile.
-    picked = hist.join(F.broadcast(cand), "b")
+    picked = hist.join(F.broadcast(cand), hist["b"].eqNullSafe(cand["cb"]))
     in_bucket = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = picked.withColumn("cum", F.col("lo") + F.sum("c").over(in_bucket)).where(F.col("cum") > F.col("rank"))
-    return picked.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles])
+    aggs = [F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles]
+    if summary:
+        aggs += [F.max(c).alias(a) for c, a in (("n", "n"), ("total", "sum"), ("vmin", "min"), ("vmax", "max"))]
+    return picked.agg(*aggs)
 
 
 def age_matrix(df: DataFrame, key: str, column: str = "modified", as_of=None, value: str = "size") -> DataFrame:

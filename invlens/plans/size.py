@@ -53,16 +53,14 @@ def size_bands(inv: DataFrame, run_id: str | None = None) -> DataFrame:
 def size_quantiles(inv: DataFrame, run_id: str | None = None, quantiles: dict[str, float] = SIZE_QUANTILES) -> DataFrame:
     """Exact size quantiles and the mean, each with its human text.
 
-    The mean is ``sum / count`` of exact integers; its text uses the
-    truncated integer mean.
+    The mean is ``sum / count`` of exact integers from the same histogram;
+    its text uses the truncated integer mean.
     """
-    rows = for_run(inv, run_id)
-    q = exact_quantiles(rows, "size", quantiles)
-    mean = rows.agg((F.sum("size") / n_rows()).alias("avg_bytes"))
+    q = exact_quantiles(for_run(inv, run_id), "size", quantiles, summary=True)
     cols = []
     for name in quantiles:
         cols += [F.col(name).alias(f"{name}_bytes"), human_size(name).alias(f"{name}_human")]
-    cols += [mean.select("avg_bytes").scalar().alias("avg_bytes")]
+    cols += [(F.col("sum") / F.col("n")).alias("avg_bytes")]
     out = q.select(*cols)
     return out.withColumn("avg_human", human_size(F.col("avg_bytes").cast("long")))
 
@@ -70,6 +68,5 @@ def size_quantiles(inv: DataFrame, run_id: str | None = None, quantiles: dict[st
 def tree_depth(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Maximum, 95th and 50th percentile of path depth over non-empty paths."""
     rows = for_run(inv, run_id).where(F.col("file_path") != "").withColumn("depth", path_depth())
-    q = exact_quantiles(rows, "depth", DEPTH_QUANTILES)
-    mx = rows.agg(F.max("depth").alias("max_depth"))
-    return q.select(mx.select("max_depth").scalar().alias("max_depth"), "p95_depth", "p50_depth")
+    q = exact_quantiles(rows, "depth", DEPTH_QUANTILES, summary=True)
+    return q.select(F.col("max").cast("int").alias("max_depth"), "p95_depth", "p50_depth")

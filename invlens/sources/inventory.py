@@ -49,14 +49,20 @@ def read_physical(
     return df if run_id is None else df.where(F.col("run_id") == run_id)
 
 
-def write_inventory(df: DataFrame, path: str, mode: str = "append") -> None:
+def _spread(df: DataFrame, num_files: int | None) -> DataFrame:
+    """Hash-spread rows over ``num_files`` tasks (so each run gets up to that many files)."""
+    return df if num_files is None else df.repartition(num_files, "run_id", "file_uri")
+
+
+def write_inventory(df: DataFrame, path: str, mode: str = "append", num_files: int | None = None) -> None:
     """Write inventory rows partitioned by ``run_id``, sorted by ``file_uri`` inside files.
 
     Sorting inside each task (no global sort) keeps row-group min/max of
-    ``file_uri`` tight for point lookups.
+    ``file_uri`` tight for point lookups. ``num_files`` spreads each run
+    over that many files so later scans split evenly across executors.
     """
     (
-        enforce_schema(df, SCAN_RESULTS)
+        _spread(enforce_schema(df, SCAN_RESULTS), num_files)
         .sortWithinPartitions("run_id", "file_uri")
         .write.mode(mode)
         .partitionBy("run_id")
@@ -64,10 +70,10 @@ def write_inventory(df: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def write_physical(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_physical(df: DataFrame, path: str, mode: str = "append", num_files: int | None = None) -> None:
     """Append allocation rows partitioned by ``run_id``."""
     (
-        enforce_schema(df, FILE_PHYSICAL)
+        _spread(enforce_schema(df, FILE_PHYSICAL), num_files)
         .sortWithinPartitions("run_id", "file_uri")
         .write.mode(mode)
         .partitionBy("run_id")
