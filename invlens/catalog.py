@@ -63,7 +63,7 @@ H, P, S0, SI = O.human, O.pct, O.sum0, O.sum_if
 inv_report(
     "overview",
     W(
-        f"SELECT count(*) AS files, {S0('size')} AS logical_bytes, {H('sum(size)')} AS logical_human, "
+        f"SELECT count(*) AS files, {S0('size')} AS logical_bytes, {H(S0('size'))} AS logical_human, "
         f"count(DISTINCT owner_sid) AS unique_owners, "
         f"{P(f'count_if({O.stale('last_accessed', 3)})', 'count(*)')} AS pct_dormant_3y, "
         f"{P(f'count_if({O.ORPHAN})', 'count(*)')} AS pct_orphan, "
@@ -765,7 +765,7 @@ inv_report(
     "duplicate_floor",
     W(
         f"SELECT count(*) AS dup_clusters, {S0('copies')} AS total_duplicate_files, {S0('wasted_bytes')} AS total_wasted_bytes, "
-        f"{H('sum(wasted_bytes)')} AS total_wasted_human, {S0('copies - 1')} AS reclaimable_file_count FROM dups",
+        f"{H(S0('wasted_bytes'))} AS total_wasted_human, {S0('copies - 1')} AS reclaimable_file_count FROM dups",
         DUP,
     ),
     duplicates.duplicate_floor,
@@ -877,7 +877,7 @@ phys_report(
 phys_report(
     "physical_total",
     W(
-        f"SELECT count(*) AS files, {S0('allocated')} AS physical_bytes, {H('sum(allocated)')} AS physical_total "
+        f"SELECT count(*) AS files, {S0('allocated')} AS physical_bytes, {H(S0('allocated'))} AS physical_total "
         f"FROM latest WHERE {PR}",
         O.LATEST,
     ),
@@ -922,7 +922,7 @@ phys_report(
 )
 _tiles = W(
     f"SELECT {S0('s.size')} AS logical_bytes, {S0('l.allocated')} AS on_disk_bytes, count(l.allocated) AS probed_files, "
-    f"count(*) AS files, {H('sum(s.size)')} AS logical_capacity, {H('COALESCE(sum(l.allocated), 0)')} AS on_disk_capacity "
+    f"count(*) AS files, {H(S0('s.size'))} AS logical_capacity, {H('COALESCE(sum(l.allocated), 0)')} AS on_disk_capacity "
     f"FROM scan_results s LEFT JOIN (SELECT * FROM latest WHERE {PR}) l ON l.run_id = s.run_id AND l.file_uri = s.file_uri "
     f"WHERE s.{R} AND s.filename <> ''",
     O.LATEST,
@@ -970,7 +970,7 @@ inv_report(
     "inventory_snapshot",
     W(
         "SELECT count(*) AS rows, count(DISTINCT run_id) AS runs, strftime(max(modified), '%Y-%m-%d %H:%M:%S.%g') AS newest_modified, "
-        f"{H('sum(size)')} AS total_bytes FROM scan_results"
+        f"{H(S0('size'))} AS total_bytes FROM scan_results"
     ),
     runs.inventory_snapshot,
 )

@@ -1,0 +1,11 @@
+"""Structured Streaming monitors and the probe loader."""
+
+from invlens.streaming.monitor import (
+    inventory_stream,
+    load_probe_stream,
+    monitor_inventory,
+    monitor_probes,
+    start_monitor,
+)
+
+__all__ = ["inventory_stream", "load_probe_stream", "monitor_inventory", "monitor_probes", "start_monitor"]
