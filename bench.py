@@ -5,7 +5,8 @@ sf0.1: 285,000 rows over two runs) and replicated ``$BENCH_COPIES`` times
 (default 66: 9.9M rows in the benchmarked run, 18.8M in the table) with a new ``file_uri`` per copy, the scale
 of the reference's published logical/physical join (9.96M x 9.96M rows).
 Both tables are written once as Parquet partitioned by ``run_id`` to
-``$BENCH_DATA_DIR`` and reused by later runs. Reports then read those
+``$BENCH_DATA_DIR`` and reused by later runs, once plain and once bucketed
+by ``file_uri`` (``$BENCH_BUCKETS``) for the co-located join. Reports then read those
 files, so every timing includes the Parquet scan.
 
 Prints one JSON line: {"metric", "value" (sum of query seconds), "unit",
@@ -26,15 +27,23 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from invlens.plans import acl, age, capacity, duplicates, overview, ownership, physical, size  # noqa: E402
 from invlens.session import build_session  # noqa: E402
 from invlens.sources.fixture import AS_OF, DEFAULT_RUN, file_physical_from_inventory, fixture_inventory  # noqa: E402
-from invlens.sources.inventory import read_inventory, read_physical, write_inventory, write_physical  # noqa: E402
+from invlens.sources.inventory import (  # noqa: E402
+    read_inventory,
+    read_physical,
+    register_bucketed,
+    write_bucketed,
+    write_inventory,
+    write_physical,
+)
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 COPIES = int(os.environ.get("BENCH_COPIES", "66"))
 FILES = int(os.environ.get("BENCH_FILES", "32"))
-REPEAT = int(os.environ.get("BENCH_REPEAT", "2"))
+BUCKETS = int(os.environ.get("BENCH_BUCKETS", "32"))
+REPEAT = int(os.environ.get("BENCH_REPEAT", "3"))
 SF = os.path.basename(SF_DIR).replace("sf", "")
-DATA_DIR = os.environ.get("BENCH_DATA_DIR", f"/tmp/invlens-bench-data/sf{SF}-x{COPIES}-f{FILES}")
+DATA_DIR = os.environ.get("BENCH_DATA_DIR", f"/tmp/invlens-bench-data/sf{SF}-x{COPIES}-f{FILES}-b{BUCKETS}")
 
 
 def prepare(spark) -> None:
@@ -50,6 +59,10 @@ def prepare(spark) -> None:
     write_inventory(copies, f"{DATA_DIR}/scan_results", mode="overwrite", num_files=FILES)
     big = read_inventory(spark, f"{DATA_DIR}/scan_results")
     write_physical(file_physical_from_inventory(big), f"{DATA_DIR}/file_physical", mode="overwrite", num_files=FILES)
+    # The same two tables bucketed by file_uri: the co-located layout for the join.
+    write_bucketed(big, "bench_scan_results_b", f"{DATA_DIR}/bucketed/scan_results", BUCKETS)
+    write_bucketed(read_physical(spark, f"{DATA_DIR}/file_physical"), "bench_file_physical_b",
+                   f"{DATA_DIR}/bucketed/file_physical", BUCKETS, kind="physical")
     with open(marker, "w") as fh:
         fh.write("ok\n")
 
@@ -59,15 +72,22 @@ def main() -> None:
         f"local[{CPUS}]",
         shuffle_partitions=max(8, 2 * CPUS),
         app="invlens-bench",
-        **{"spark.driver.memory": "16g", "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024)},
+        **{
+            "spark.driver.memory": "16g",
+            "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+            "spark.sql.warehouse.dir": f"{DATA_DIR}/warehouse",
+        },
     )
     prepare(spark)
     inv = read_inventory(spark, f"{DATA_DIR}/scan_results")
     phys = read_physical(spark, f"{DATA_DIR}/file_physical")
+    inv_b = register_bucketed(spark, "bench_scan_results_b", f"{DATA_DIR}/bucketed/scan_results", BUCKETS)
+    phys_b = register_bucketed(spark, "bench_file_physical_b", f"{DATA_DIR}/bucketed/file_physical", BUCKETS, "physical")
     run = DEFAULT_RUN
 
     reports = {
         "logical_physical_join": lambda: physical.logical_physical_tiles(inv, phys, run),
+        "logical_physical_join_bucketed": lambda: physical.logical_physical_tiles(inv_b, phys_b, run),
         "logical_physical_sums": lambda: physical.logical_physical_tiles(inv, phys, run, method="sums"),
         "overview": lambda: overview.overview(inv, run, AS_OF),
         "coverage": lambda: physical.coverage(inv, phys, run),

@@ -665,6 +665,16 @@ inv_report(
     size.extensions,
     run_id=RUN,
 )
+inv_report(
+    "extensions_by_bytes_export",
+    W(
+        f"SELECT extension, count(*) AS files, {S0('size')} AS bytes, {H('sum(size)')} AS bytes_human FROM scan_results "
+        f"WHERE {R} GROUP BY 1 ORDER BY bytes DESC, extension LIMIT 25"
+    ),
+    size.extensions,
+    run_id=RUN,
+    limit=25,
+)
 inv_report(
     "extensions_top10_bytes",
     W(
@@ -991,6 +1001,31 @@ inv_report(
     run_after=RUN,
 )
 
+_ov_metrics = (
+    f"CAST(count(*) AS DOUBLE) AS files, CAST({S0('size')} AS DOUBLE) AS logical_bytes, "
+    f"CAST(count(DISTINCT owner_sid) AS DOUBLE) AS unique_owners, "
+    f"{P(f'count_if({O.stale('last_accessed', 3)})', 'count(*)')} AS pct_dormant_3y, "
+    f"{P(f'count_if({O.ORPHAN})', 'count(*)')} AS pct_orphan, "
+    f"{P(f'count_if({O.flag('W')})', 'count(*)')} AS pct_widens_access, "
+    f"{P(f'count_if({O.flag('B')})', 'count(*)')} AS pct_broken_inherit"
+)
+inv_report(
+    "reconcile_runs",
+    W(
+        "SELECT a.metric, a.v AS value, b.v AS expected, abs(a.v - b.v) AS abs_diff, "
+        "abs(a.v - b.v) / abs(b.v) AS rel_diff, "
+        f"COALESCE(abs(a.v - b.v) / abs(b.v) <= {O.dbl(0.05)}, abs(a.v - b.v) = 0, false) AS within "
+        f"FROM lng a JOIN lng b ON a.metric = b.metric AND a.run_id = '{RUN}' AND b.run_id = '{PREVIOUS_RUN}'",
+        f"ov AS (SELECT run_id, {_ov_metrics} FROM scan_results GROUP BY run_id), "
+        "lng AS (UNPIVOT ov ON files, logical_bytes, unique_owners, pct_dormant_3y, pct_orphan, pct_widens_access, "
+        "pct_broken_inherit INTO NAME metric VALUE v)",
+    ),
+    runs.reconcile_runs,
+    run_expected=PREVIOUS_RUN,
+    run_actual=RUN,
+    as_of=AS_OF,
+)
+
 # ---------------------------------------------------------------- folders and attributes
 _levels = (
     "SELECT file_path, files, dirs, bytes, unnest(range(1, greatest("

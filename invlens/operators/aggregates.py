@@ -19,14 +19,15 @@ from invlens.functions.scalars import half_even_round
 QUANTILE_BUCKETS_PER_OCTAVE = 4096
 
 
-def latest_physical(phys: DataFrame) -> DataFrame:
+def latest_physical(phys: DataFrame, keys: Sequence[str] = ("run_id", "file_uri")) -> DataFrame:
     """One allocation row per ``(run_id, file_uri)``: the newest probe wins.
 
     Re-probes are appended, so this is the read-side collapse. Ties on
     ``probed_at`` are broken by the larger ``allocated`` so the result is
-    deterministic.
+    deterministic. For a frame already restricted to one run, ``keys`` can be
+    ``["file_uri"]`` so the result is partitioned exactly like a join on it.
     """
-    return phys.groupBy("run_id", "file_uri").agg(
+    return phys.groupBy(*keys).agg(
         F.max_by("allocated", F.struct("probed_at", "allocated")).alias("allocated"),
         F.max("probed_at").alias("probed_at"),
     )

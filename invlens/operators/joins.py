@@ -43,12 +43,14 @@ def with_physical(
     ``on_missing`` sets ``allocated`` for files without a probe: ``null``,
     ``zero`` or ``logical`` (the logical size). ``probed`` flags matches.
     """
-    latest = _for_run(latest_physical(_for_run(phys, run_id)), None).select(
-        *KEYS, F.col("allocated").alias("_alloc")
-    )
+    # Within one run the key is ``file_uri`` alone: the latest-probe aggregate
+    # is then hash-partitioned exactly as the join needs (and a table bucketed
+    # by ``file_uri`` needs no shuffle on either side).
+    keys = ["file_uri"] if run_id is not None else KEYS
+    latest = latest_physical(_for_run(phys, run_id), keys).select(*keys, F.col("allocated").alias("_alloc"))
     if broadcast and fits_broadcast(latest, max_broadcast_rows):
         latest = F.broadcast(latest)
-    joined = _for_run(inv, run_id).join(latest, KEYS, "left")
+    joined = _for_run(inv, run_id).join(latest, keys, "left")
     probed = F.col("_alloc").isNotNull()
     if on_missing == "null":
         alloc: Column = F.col("_alloc")
@@ -80,9 +82,10 @@ def capacity(
 
 def missing_probes(inv: DataFrame, phys: DataFrame, run_id: str | None = None, limit: int | None = None) -> DataFrame:
     """Files of the run with no allocation row (anti join, not ``NOT IN``)."""
-    files = _for_run(inv, run_id).where(is_file()).select(*KEYS)
-    probed = _for_run(phys, run_id).select(*KEYS)
-    out = files.join(probed, KEYS, "left_anti").select("file_uri")
+    keys = ["file_uri"] if run_id is not None else KEYS
+    files = _for_run(inv, run_id).where(is_file()).select(*keys)
+    probed = _for_run(phys, run_id).select(*keys)
+    out = files.join(probed, keys, "left_anti").select("file_uri")
     if limit is not None:
         out = out.orderBy("file_uri").limit(limit)
     return out

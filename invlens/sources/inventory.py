@@ -81,6 +81,43 @@ def write_physical(df: DataFrame, path: str, mode: str = "append", num_files: in
     )
 
 
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, kind: str = "inventory") -> None:
+    """Write a catalog table partitioned by ``run_id`` and bucketed/sorted by ``file_uri``.
+
+    Rows are first hash-partitioned by ``file_uri`` into ``buckets`` tasks
+    (the same hash as the bucket id), so each run partition gets exactly
+    one file per bucket. Inventory and allocation tables written with the
+    same bucket count join and aggregate on ``file_uri`` with no shuffle.
+    """
+    schema = SCAN_RESULTS if kind == "inventory" else FILE_PHYSICAL
+    (
+        enforce_schema(df, schema)
+        .repartition(buckets, "file_uri")
+        .write.mode("overwrite")
+        .partitionBy("run_id")
+        .bucketBy(buckets, "file_uri")
+        .sortBy("file_uri")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
+def register_bucketed(spark: SparkSession, table: str, path: str, buckets: int, kind: str = "inventory") -> DataFrame:
+    """Register an existing bucketed folder as a catalog table (new session) and return it."""
+    schema = SCAN_RESULTS if kind == "inventory" else FILE_PHYSICAL
+    if not spark.catalog.tableExists(table):
+        spark.sql(
+            f"CREATE TABLE {table} ({_ddl(schema)}) USING parquet PARTITIONED BY (run_id) "
+            f"CLUSTERED BY (file_uri) SORTED BY (file_uri) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+        )
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return spark.table(table)
+
+
 def list_runs(inv: DataFrame) -> DataFrame:
     """Run ids, newest first by the (text) ``max(run_start_time)``."""
     return inv.groupBy("run_id").agg(F.max("run_start_time").alias("run_start_time")).orderBy(

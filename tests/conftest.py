@@ -14,7 +14,12 @@ SF_ORACLE = os.environ.get("INVLENS_ORACLE_SF", "/root/testdata/sf0.01")
 def spark():
     from invlens.session import build_session
 
-    s = build_session("local[*]", shuffle_partitions=8, app="invlens-tests")
+    s = build_session(
+        "local[*]",
+        shuffle_partitions=8,
+        app="invlens-tests",
+        **{"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="invlens-wh-")},
+    )
     if not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="invlens-ckpt-"))
     yield s

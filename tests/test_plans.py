@@ -71,3 +71,26 @@ def test_join_reuses_aggregate_partitioning(stored):
     assert ("SortMergeJoin" in plan) or ("BroadcastHashJoin" in plan) or ("ShuffledHashJoin" in plan)
     # one shuffle per side on the join keys: the latest-probe aggregate feeds the join directly
     assert plan.count("hashpartitioning(run_id") <= 2
+
+
+def test_bucketed_join_has_no_shuffle(spark, scratch):
+    from invlens.sources.inventory import register_bucketed, write_bucketed
+
+    inv = fixture_inventory(spark, SF_SMALL)
+    base = os.path.join(scratch, "bucketed")
+    write_bucketed(inv, "t_inv_b", f"{base}/inv", 4)
+    write_bucketed(file_physical_from_inventory(inv), "t_phys_b", f"{base}/phys", 4, kind="physical")
+    inv_b = register_bucketed(spark, "t_inv_b", f"{base}/inv", 4)
+    phys_b = register_bucketed(spark, "t_phys_b", f"{base}/phys", 4, kind="physical")
+    df = physical.logical_physical_tiles(inv_b, phys_b, RUN)
+    plain = physical.logical_physical_tiles(fixture_inventory(spark, SF_SMALL), file_physical_from_inventory(inv), RUN)
+    assert df.collect() == plain.collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = final_plan(physical.logical_physical_tiles(inv_b, phys_b, RUN))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan
+    assert "hashpartitioning(file_uri" not in plan
