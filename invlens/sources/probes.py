@@ -116,6 +116,25 @@ def write_with_rejects(feed: DataFrame, path: str) -> None:
     )
 
 
+def compact_physical(phys: DataFrame, out_path: str, run_id: str | None = None) -> None:
+    """Write the latest probe per file (one row per key) to ``out_path``, partitioned by run.
+
+    The compacted copy is what a merge-on-write store keeps; reports give
+    the same results on it and on the append-only original. It is written
+    to a new location (a table is never overwritten while it is read).
+    """
+    from invlens.operators.aggregates import latest_physical
+
+    src = phys if run_id is None else phys.where(F.col("run_id") == run_id)
+    (
+        enforce_schema(latest_physical(src), FILE_PHYSICAL)
+        .sortWithinPartitions("run_id", "file_uri")
+        .write.mode("overwrite")
+        .partitionBy("run_id")
+        .parquet(out_path)
+    )
+
+
 def drop_run(spark: SparkSession, run_id: str, path: str | None = None, table: str | None = None) -> None:
     """Remove one run's allocation rows (catalog partition or ``run_id=`` folder)."""
     if table is not None:

@@ -102,3 +102,45 @@ def test_csv_source_lenient_time(spark, scratch):
     df = enforce_schema(raw, SCAN_RESULTS, lenient_time=True)
     got = sorted(r["modified"] for r in df.collect())
     assert got == [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 123000)]
+
+
+def test_compact_physical_same_reports(spark, scratch):
+    from invlens.plans import physical
+    from invlens.sources.fixture import file_physical_from_inventory
+    from invlens.sources.probes import compact_physical
+
+    inv = fixture_inventory(spark, SF_SMALL)
+    phys = file_physical_from_inventory(inv)
+    out = os.path.join(scratch, "compacted")
+    compact_physical(phys, out)
+    small = read_physical(spark, out)
+    assert small.count() == phys.select("run_id", "file_uri").distinct().count()
+    a = physical.logical_physical_tiles(inv, phys, "run-2").collect()
+    b = physical.logical_physical_tiles(inv, small, "run-2").collect()
+    assert a == b
+
+
+def test_standard_export(spark, scratch):
+    from invlens.plans.export_batch import export_standard, standard_reports
+    from invlens.sources.fixture import AS_OF
+
+    inv = fixture_inventory(spark, SF_SMALL)
+    out = os.path.join(scratch, "standard")
+    status = export_standard(spark, inv, "run-2", AS_OF, out).collect()
+    assert len(status) == len(standard_reports(inv, AS_OF)) == 20
+    assert all(r["ok"] for r in status), [r["error"] for r in status if not r["ok"]]
+    ov = read_report_csv(spark, os.path.join(out, "overview")).first()
+    assert ov["files"] == inv.where(F.col("run_id") == "run-2").count()
+
+
+def test_kpis_match_tiles(spark):
+    from invlens.plans import cost, overview
+    from invlens.sources.fixture import AS_OF
+
+    inv = fixture_inventory(spark, SF_SMALL)
+    k = overview.kpis(inv, "run-2", AS_OF).first()
+    assert k["files"] == overview.total_files(inv, "run-2").first()["files"]
+    assert k["oldest"] == overview.oldest_modified(inv, "run-2").first()["oldest"]
+    assert k["pct_orphan"] == overview.pct_orphan_files(inv, "run-2").first()["pct"]
+    assert k["usd_mo"] == cost.hot_cost(inv, "run-2").first()["usd_mo"]
+    assert k["savings"] == cost.archive_savings(inv, "run-2", AS_OF).first()["savings"]
