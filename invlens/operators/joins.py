@@ -9,8 +9,9 @@ from invlens.functions.predicates import is_file
 from invlens.operators.aggregates import latest_physical
 
 KEYS = ["run_id", "file_uri"]
-# Largest physical side (rows) that ``broadcast=True`` will ship to every executor.
-DEFAULT_BROADCAST_ROW_CAP = 2_000_000
+# Largest physical side (rows) that ``broadcast=True`` will ship to every
+# executor: a key of at most ~150 characters plus one long, so about 150 MB.
+DEFAULT_BROADCAST_ROW_CAP = 1_000_000
 
 
 def _for_run(df: DataFrame, run_id: str | None) -> DataFrame:

@@ -50,13 +50,29 @@ def size_bands(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     return g.withColumn("bytes_human", human_size("bytes")).orderBy("size_band")
 
 
-def size_quantiles(inv: DataFrame, run_id: str | None = None, quantiles: dict[str, float] = SIZE_QUANTILES) -> DataFrame:
+def size_quantiles(
+    inv: DataFrame,
+    run_id: str | None = None,
+    quantiles: dict[str, float] = SIZE_QUANTILES,
+    approximate: bool = False,
+    accuracy: int = 10000,
+) -> DataFrame:
     """Exact size quantiles and the mean, each with its human text.
 
     The mean is ``sum / count`` of exact integers from the same histogram;
-    its text uses the truncated integer mean.
+    its text uses the truncated integer mean. ``approximate`` uses
+    ``percentile_approx`` (one pass, bounded memory, rank error about
+    ``1 / accuracy``) instead of the exact plan.
     """
-    q = exact_quantiles(for_run(inv, run_id), "size", quantiles, summary=True)
+    rows = for_run(inv, run_id)
+    if approximate:
+        q = rows.agg(
+            *[F.percentile_approx("size", float(v), accuracy).alias(k) for k, v in quantiles.items()],
+            F.count(F.lit(1)).alias("n"),
+            F.sum("size").alias("sum"),
+        )
+    else:
+        q = exact_quantiles(rows, "size", quantiles, summary=True)
     cols = []
     for name in quantiles:
         cols += [F.col(name).alias(f"{name}_bytes"), human_size(name).alias(f"{name}_human")]

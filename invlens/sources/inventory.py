@@ -33,7 +33,9 @@ def read_inventory(
     ``format='jdbc'`` reads the exporter's table (``options`` carry url,
     dbtable, ...); ``csv``/``json`` read text exports. Text timestamps are
     parsed leniently by several layouts and every source is cast to the
-    fixed schema.
+    fixed schema. A JDBC read is one connection unless the options split it
+    (``partitionColumn``, ``lowerBound``, ``upperBound``, ``numPartitions``);
+    the run filter is pushed into the database query.
     """
     r = _reader(spark, format, SCAN_RESULTS, options)
     df = r.load(path) if path is not None else r.load()

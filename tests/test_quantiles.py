@@ -59,3 +59,23 @@ def test_empty(spark):
 @given(st.lists(st.integers(min_value=-(10**12), max_value=10**12), min_size=1, max_size=60))
 def test_property(spark, vals):
     check(spark, vals)
+
+
+def test_approximate_option_close(spark):
+    from invlens.plans import size
+    from invlens.sources.fixture import fixture_inventory
+
+    from conftest import SF_SMALL
+
+    inv = fixture_inventory(spark, SF_SMALL)
+    exact = size.size_quantiles(inv, "run-2").first()
+    approx = size.size_quantiles(inv, "run-2", approximate=True).first()
+    assert approx["avg_bytes"] == exact["avg_bytes"]
+    vals = sorted(r["size"] for r in inv.where("run_id = 'run-2'").select("size").collect())
+    for k in ("p50", "p90"):
+        # rank of the approximate answer within 1% of the exact rank
+        import bisect
+
+        r_exact = bisect.bisect_left(vals, exact[f"{k}_bytes"])
+        r_approx = bisect.bisect_left(vals, approx[f"{k}_bytes"])
+        assert abs(r_exact - r_approx) <= 0.01 * len(vals) + 1
