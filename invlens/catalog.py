@@ -918,6 +918,39 @@ phys_report(
     with_inv=False,
     run_id=RUN,
 )
+phys_report(
+    "physical_total_raw",
+    W(
+        f"SELECT count(*) AS files, {S0('allocated')} AS physical_bytes, {H(S0('allocated'))} AS physical_total "
+        f"FROM file_physical WHERE {PR}"
+    ),
+    physical.physical_total,
+    with_inv=False,
+    run_id=RUN,
+    dedupe=False,
+)
+_pb_raw = f"(SELECT {S0('allocated')} FROM file_physical WHERE {PR})"
+phys_report(
+    "physical_ratio_raw",
+    W(
+        f"SELECT {_lb} AS logical_bytes, {_pb_raw} AS physical_bytes, {H(_lb)} AS logical, {H(_pb_raw)} AS physical, "
+        f"round_even({O.dbl(_pb_raw)} / {_lb}, 4) AS physical_over_logical"
+    ),
+    physical.physical_ratio,
+    run_id=RUN,
+    dedupe=False,
+)
+phys_report(
+    "allocation_histogram_raw",
+    W(
+        f"SELECT allocated, {H('allocated')} AS bucket, count(*) AS files, {H('sum(allocated)')} AS bytes "
+        f"FROM file_physical WHERE {PR} GROUP BY allocated"
+    ),
+    physical.allocation_histogram,
+    with_inv=False,
+    run_id=RUN,
+    dedupe=False,
+)
 phys_report(
     "allocation_share",
     W(

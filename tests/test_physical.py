@@ -100,3 +100,16 @@ def test_capacity_toggle(tables):
     assert physical.capacity_tile(inv, phys, "r", "Physical").first()["capacity_bytes"] == 8212
     with pytest.raises(ValueError):
         physical.capacity_tile(inv, phys, "r", "Other")
+
+
+def test_content_duplicates(spark):
+    from invlens.plans.duplicates import content_duplicates
+
+    df = spark.createDataFrame(
+        [("r", "h1", 10), ("r", "h1", 10), ("r", "h1", 10), ("r", "h2", 5), ("r", "h3", 7), ("r", "h3", 7), ("q", "h2", 5)],
+        "run_id string, hash string, size long",
+    )
+    got = {(r["hash"], r["copies"], r["wasted_bytes"]) for r in content_duplicates(df, "r").collect()}
+    assert got == {("h1", 3, 20), ("h3", 2, 7)}
+    with pytest.raises(ValueError):
+        content_duplicates(df.drop("hash"), "r")

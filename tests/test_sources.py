@@ -144,3 +144,14 @@ def test_kpis_match_tiles(spark):
     assert k["pct_orphan"] == overview.pct_orphan_files(inv, "run-2").first()["pct"]
     assert k["usd_mo"] == cost.hot_cost(inv, "run-2").first()["usd_mo"]
     assert k["savings"] == cost.archive_savings(inv, "run-2", AS_OF).first()["savings"]
+
+
+def test_write_with_rejects(spark, scratch):
+    from invlens.sources.probes import write_with_rejects
+
+    feed = spark.createDataFrame([("r", "win://h/S/a"), ("r", "nfs://x"), ("r", "win://h/T/b")], "run_id string, file_uri string")
+    out = os.path.join(scratch, "rejects")
+    write_with_rejects(feed, out)
+    back = spark.read.parquet(out)
+    counts = {r["outcome"]: r["count"] for r in back.groupBy("outcome").count().collect()}
+    assert counts == {"OK": 2, "PATH_CONVERT": 1}
