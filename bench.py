@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from invlens.plans import acl, age, capacity, duplicates, overview, ownership, physical, size  # noqa: E402
+from invlens.plans.export_batch import export_standard  # noqa: E402
 from invlens.session import build_session  # noqa: E402
 from invlens.sources.fixture import AS_OF, DEFAULT_RUN, file_physical_from_inventory, fixture_inventory  # noqa: E402
 from invlens.sources.inventory import (  # noqa: E402
@@ -100,6 +102,7 @@ def main() -> None:
         "duplicate_floor": lambda: duplicates.duplicate_floor(inv, run),
         "size_quantiles": lambda: size.size_quantiles(inv, run),
         "tree_depth": lambda: size.tree_depth(inv, run),
+        "standard_export_20_reports": lambda: export_standard(spark, inv, run, AS_OF, tempfile.mkdtemp(prefix="invlens-export-")),
     }
     rows = inv.where(F.col("run_id") == run).count()
     overview.total_files(inv, run).collect()  # warm-up

@@ -99,6 +99,16 @@ inv_report(
     overview.pct_orphan_files,
     run_id=RUN,
 )
+inv_report(
+    "pct_orphan_status",
+    W(
+        f"SELECT pct, CASE WHEN pct >= 5 THEN 'red' WHEN pct >= 1 THEN 'orange' ELSE 'green' END AS status FROM "
+        f"(SELECT {P(f'count_if({O.ORPHAN})', 'count(*)', None)} AS pct FROM scan_results WHERE {R})"
+    ),
+    overview.pct_orphan_files,
+    run_id=RUN,
+    with_status=True,
+)
 inv_report(
     "pct_widens_files",
     W(f"SELECT {P(f'count_if({O.flag('W')})', 'count(*)', None)} AS pct FROM scan_results WHERE {R}"),
@@ -566,6 +576,21 @@ DORMANCY = (
     f"count(*) AS files FROM scan_results WHERE {R} AND {O.DEPT} <> '' GROUP BY 1 HAVING count(*) > 1000"
 )
 inv_report("dormancy_by_dept", W(DORMANCY), age.dormancy_by_dept, run_id=RUN, as_of=AS_OF)
+def _colour(col: str, orange: int, red: int) -> str:
+    return f"CASE WHEN {col} >= {red} THEN 'red' WHEN {col} >= {orange} THEN 'orange' ELSE 'green' END"
+
+
+inv_report(
+    "dormancy_status",
+    W(
+        f"SELECT *, {_colour('pct_aging_1y', 50, 80)} AS status_1y, {_colour('pct_dormant_3y', 50, 80)} AS status_3y, "
+        f"{_colour('pct_ancient_5y', 30, 60)} AS status_5y FROM ({DORMANCY})"
+    ),
+    age.dormancy_by_dept,
+    run_id=RUN,
+    as_of=AS_OF,
+    with_status=True,
+)
 inv_report(
     "dormancy_top16",
     W(DORMANCY + " ORDER BY pct_dormant_3y DESC, dept LIMIT 16"),

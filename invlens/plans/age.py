@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from invlens.functions.classifiers import (
     ACCESS_AGE_BANDS,
     ACCESS_AGE_REST,
+    ANCIENT_PCT_STEPS,
+    DORMANCY_PCT_STEPS,
     MODIFIED_AGE_BANDS,
     MODIFIED_AGE_REST,
     age_band,
+    status,
 )
 from invlens.functions.predicates import stale
 from invlens.functions.scalars import dept, human_size, pct
@@ -26,8 +29,13 @@ def dormancy_by_dept(
     min_files: int = 1000,
     order_by: str = "files",
     limit: int | None = None,
+    with_status: bool = False,
 ) -> DataFrame:
-    """Share of files per department not accessed for 1, 3 and 5 years."""
+    """Share of files per department not accessed for 1, 3 and 5 years.
+
+    ``with_status`` adds the dashboard's threshold colour of each share
+    (green / orange / red at 50 / 80 %, and 30 / 60 % for five years).
+    """
     rows = for_run(inv, run_id).withColumn("dept", dept()).where(F.col("dept") != "")
     g = rows.groupBy("dept").agg(
         count_if(stale("last_accessed", 1, as_of)).alias("_a1"),
@@ -42,6 +50,12 @@ def dormancy_by_dept(
         pct("_a5", "files", 1).alias("pct_ancient_5y"),
         "files",
     )
+    if with_status:
+        g = (
+            g.withColumn("status_1y", status("pct_aging_1y", DORMANCY_PCT_STEPS))
+            .withColumn("status_3y", status("pct_dormant_3y", DORMANCY_PCT_STEPS))
+            .withColumn("status_5y", status("pct_ancient_5y", ANCIENT_PCT_STEPS))
+        )
     if limit is None:
         return g
     return top_k(g, desc_then(order_by), limit, ["dept"])

@@ -75,8 +75,16 @@ def _pct_tile(inv: DataFrame, run_id: str | None, cond) -> DataFrame:
     return for_run(inv, run_id).agg(pct(count_if(cond), n_rows(), None).alias("pct"))
 
 
-def pct_orphan_files(inv: DataFrame, run_id: str | None = None, mode: str = "current") -> DataFrame:
-    return _pct_tile(inv, run_id, is_orphan(mode))
+def pct_orphan_files(
+    inv: DataFrame, run_id: str | None = None, mode: str = "current", with_status: bool = False
+) -> DataFrame:
+    """Unrounded % of files with an orphaned owner; ``with_status`` adds the tile colour (1 % / 5 %)."""
+    out = _pct_tile(inv, run_id, is_orphan(mode))
+    if with_status:
+        from invlens.functions.classifiers import ORPHAN_PCT_STEPS, status
+
+        out = out.withColumn("status", status("pct", ORPHAN_PCT_STEPS))
+    return out
 
 
 def pct_flag_files(inv: DataFrame, run_id: str | None = None, letter: str = "W") -> DataFrame:
