@@ -98,13 +98,21 @@ def allocation_share(
 
 
 def logical_physical_tiles(
-    inv: DataFrame, phys: DataFrame, run_id: str | None = None, on_missing: str = "null", method: str = "join"
+    inv: DataFrame,
+    phys: DataFrame,
+    run_id: str | None = None,
+    on_missing: str = "null",
+    method: str = "join",
+    dedupe: bool = True,
 ) -> DataFrame:
     """Logical and on-disk capacity of the run's files.
 
     ``join``: files left-joined to each file's latest probe. ``sums``: two
     independent totals, no join; equal to ``join`` only when no probe
-    lacks an inventory row.
+    lacks an inventory row. With ``sums`` and ``dedupe=False`` the on-disk
+    total is a plain sum over the probe rows (two scans, no shuffle of
+    keys): exact only on a compacted table (one probe per file, see
+    ``compact_physical``).
     """
     files = for_run(inv, run_id).where(is_file())
     if method == "join":
@@ -117,7 +125,8 @@ def logical_physical_tiles(
         )
     elif method == "sums":
         logical = files.agg(sum_or_zero("size").alias("logical_bytes"), n_rows().alias("files"))
-        latest = latest_physical(for_run(phys, run_id)).agg(
+        probes = for_run(phys, run_id)
+        latest = (latest_physical(probes) if dedupe else probes).agg(
             sum_or_zero("allocated").alias("on_disk_bytes"), n_rows().alias("probed_files")
         )
         out = logical.select(

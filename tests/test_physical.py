@@ -113,3 +113,11 @@ def test_content_duplicates(spark):
     assert got == {("h1", 3, 20), ("h3", 2, 7)}
     with pytest.raises(ValueError):
         content_duplicates(df.drop("hash"), "r")
+
+
+def test_sums_without_dedupe_on_compacted(spark, tables):
+    inv, phys = tables
+    compacted = latest_physical(phys).select("run_id", "file_uri", "allocated", "probed_at")
+    a = physical.logical_physical_tiles(inv, compacted, "r", method="sums", dedupe=False).first()
+    b = physical.logical_physical_tiles(inv, phys, "r", method="sums").first()
+    assert a == b
