@@ -180,7 +180,7 @@ inv_report(
     "ingest_facts",
     W(
         f"SELECT count(*) AS rows, count_if({O.IS_FILE}) AS files, count_if({O.IS_DIR}) AS dirs, "
-        f"max(length(file_uri)) AS max_uri_length, count_if(regexp_matches(file_uri, '[^\\x00-\\x7F]')) AS non_ascii_uris, "
+        f"CAST(max(length(file_uri)) AS INTEGER) AS max_uri_length, count_if(regexp_matches(file_uri, '[^\\x00-\\x7F]')) AS non_ascii_uris, "
         f"count_if(regexp_matches(file_uri, '%[0-9A-Fa-f]{{2}}')) AS encoded_uris, "
         f"min(modified) AS min_modified, max(modified) AS max_modified FROM scan_results WHERE {R}"
     ),

@@ -16,9 +16,38 @@ RUN = f"run_id = '{DEFAULT_RUN}'"
 BS = "chr(92)"
 
 
+def bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``.
+
+    DuckDB's ``count_if`` is HUGEINT while Spark's is BIGINT; the oracle
+    keeps result types equal. Parentheses inside quoted text are skipped.
+    """
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k, quoted = 0, j + len(token) - 1, False
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "'":
+                quoted = not quoted
+            elif not quoted and ch == "(":
+                depth += 1
+            elif not quoted and ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(f"CAST({sql[j:k + 1]} AS BIGINT)")
+        i = k + 1
+
+
 def with_fixture(body: str, ctes: str = "") -> str:
-    extra = f", {ctes}" if ctes else ""
-    return f"WITH {FIXTURE_SQL}{extra}\n{body}"
+    extra = f", {bigint_counts(ctes)}" if ctes else ""
+    return f"WITH {FIXTURE_SQL}{extra}\n{bigint_counts(body)}"
 
 
 def dbl(x) -> str:
