@@ -6,11 +6,16 @@ from pyspark.sql import SparkSession
 
 # Settings every report assumes: UTC session clock, AQE for runtime
 # re-planning (join strategy, partition coalescing, skew splitting).
+# Broadcast joins are chosen only from sizes measured at run time (AQE,
+# after the shuffle map stage), never from planner estimates; explicit
+# broadcast hints are used only on sides with a proven row bound.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 

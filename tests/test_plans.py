@@ -85,12 +85,14 @@ def test_bucketed_join_has_no_shuffle(spark, scratch):
     df = physical.logical_physical_tiles(inv_b, phys_b, RUN)
     plain = physical.logical_physical_tiles(fixture_inventory(spark, SF_SMALL), file_physical_from_inventory(inv), RUN)
     assert df.collect() == plain.collect()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    saved = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
     try:
         plan = final_plan(physical.logical_physical_tiles(inv_b, phys_b, RUN))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for k, v in saved.items():
+            spark.conf.set(k, v)
     assert "SortMergeJoin" in plan
     assert "hashpartitioning(file_uri" not in plan
