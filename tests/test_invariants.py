@@ -104,3 +104,17 @@ def test_reconcile_and_compare_runs(tables):
     d2 = capacity.dept_breakdown(inv, "run-2").agg(F.sum("files")).first()[0]
     d1 = capacity.dept_breakdown(inv, "run-1").agg(F.sum("files")).first()[0]
     assert cmp == d2 - d1
+
+
+def test_directories_count_as_files_unless_filtered(tables):
+    """Directory rows (size 0) land in '<1K' by default; is_file() removes them."""
+    from invlens.functions import is_file
+
+    inv, _ = tables
+    run = inv.where(F.col("run_id") == RUN)
+    dirs = run.where(is_directory()).count()
+    with_dirs = {r["bucket"]: r["files"] for r in size.size_buckets(inv, RUN).collect()}
+    files_only = {r["bucket"]: r["files"] for r in size.size_buckets(inv.where(is_file()), RUN).collect()}
+    assert dirs == 16
+    assert with_dirs["<1K"] - files_only["<1K"] == dirs
+    assert sum(with_dirs.values()) == run.count()
