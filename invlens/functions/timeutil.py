@@ -13,7 +13,6 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AsOf = "str | _dt.datetime | _dt.date"
 
 
 def as_of_literal(as_of) -> Column:

@@ -22,7 +22,7 @@ from invlens.sources.inventory import read_inventory, read_physical  # noqa: E40
 
 
 def main() -> None:
-    data = sys.argv[1] if len(sys.argv) > 1 else "/tmp/invlens-bench-data/sf0.1-x66-f32-b32"
+    data = sys.argv[1] if len(sys.argv) > 1 else "/tmp/invlens-bench-data/sf0.1-r2x66-f32-b32"
     wanted = set(sys.argv[2:])
     spark = build_session("local[8]", 16)
     inv = read_inventory(spark, f"{data}/scan_results")
