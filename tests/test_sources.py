@@ -155,3 +155,17 @@ def test_write_with_rejects(spark, scratch):
     back = spark.read.parquet(out)
     counts = {r["outcome"]: r["count"] for r in back.groupBy("outcome").count().collect()}
     assert counts == {"OK": 2, "PATH_CONVERT": 1}
+
+
+def test_json_source_roundtrip(spark, scratch):
+    inv = fixture_inventory(spark, SF_SMALL).where(F.col("run_id") == "run-1")
+    path = os.path.join(scratch, "inv_json")
+    text_times = inv.select(
+        *[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if c in ("created", "modified", "last_accessed") else F.col(c)
+          for c in inv.columns]
+    )
+    text_times.write.mode("overwrite").json(path)
+    back = read_inventory(spark, path, run_id="run-1", format="json")
+    assert back.schema == SCAN_RESULTS
+    cols = ["file_uri", "size", "owner_name", "created", "modified", "last_accessed"]
+    assert sorted(back.select(*cols).collect()) == sorted(inv.select(*cols).collect())
