@@ -74,16 +74,16 @@ def prepare(spark) -> None:
 
 
 def main() -> None:
-    spark = build_session(
-        f"local[{CPUS}]",
-        shuffle_partitions=max(8, 2 * CPUS),
-        app="invlens-bench",
-        **{
-            "spark.driver.memory": "16g",
-            "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
-            "spark.sql.warehouse.dir": f"{DATA_DIR}/warehouse",
-        },
-    )
+    conf = {
+        "spark.driver.memory": "16g",
+        "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+        "spark.sql.warehouse.dir": f"{DATA_DIR}/warehouse",
+    }
+    event_log = os.environ.get("BENCH_EVENT_LOG")  # folder for stage/task times (no UI)
+    if event_log:
+        os.makedirs(event_log, exist_ok=True)
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log})
+    spark = build_session(f"local[{CPUS}]", shuffle_partitions=max(8, 2 * CPUS), app="invlens-bench", **conf)
     prepare(spark)
     inv = read_inventory(spark, f"{DATA_DIR}/scan_results")
     phys = read_physical(spark, f"{DATA_DIR}/file_physical")
