@@ -1042,6 +1042,34 @@ inv_report(
     ),
     runs.inventory_snapshot,
 )
+_SNAPSHOT_SQL = W(
+    "SELECT count(*) AS rows, count(DISTINCT run_id) AS runs, strftime(max(modified), '%Y-%m-%d %H:%M:%S.%g') AS newest_modified, "
+    f"{H(S0('size'))} AS total_bytes FROM scan_results"
+)
+
+
+@register("inventory_monitor_stream", _SNAPSHOT_SQL)
+def _inventory_monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 as a real stream: the derived inventory is written under the
+    session's checkpoint folder, read back as a file stream and aggregated
+    with an availableNow trigger into a memory table."""
+    import uuid
+
+    from invlens.session import checkpoint_dir
+    from invlens.sources.inventory import write_inventory
+    from invlens.streaming import inventory_stream, monitor_inventory, start_monitor
+
+    tag = uuid.uuid4().hex[:12]
+    base = f"{checkpoint_dir(spark).rstrip('/')}/invlens-monitor-{tag}"
+    write_inventory(fixture_inventory(spark, sf), f"{base}/data", mode="overwrite")
+    name = f"inventory_monitor_{tag}"
+    query = start_monitor(
+        monitor_inventory(inventory_stream(spark, f"{base}/data")), name, f"{base}/checkpoint", available_now=True
+    )
+    query.awaitTermination()
+    return spark.table(name)
+
+
 _dept_run = lambda r: (
     f"SELECT {O.DEPT} AS dept, count(*) AS files, {S0('size')} AS bytes FROM scan_results "
     f"WHERE run_id = '{r}' AND {O.DEPT} <> '' GROUP BY 1"
