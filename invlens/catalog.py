@@ -1070,6 +1070,32 @@ def _inventory_monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(name)
 
 
+@register(
+    "probe_monitor_stream",
+    W("SELECT run_id, count(*) AS probed, min(probed_at) AS started, max(probed_at) AS latest FROM file_physical GROUP BY run_id"),
+)
+def _probe_monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 as a real stream: the derived probe rows are written under the
+    session's checkpoint folder, read back as a file stream and aggregated
+    per run with an availableNow trigger into a memory table."""
+    import uuid
+
+    from invlens.schema import FILE_PHYSICAL
+    from invlens.session import checkpoint_dir
+    from invlens.sources.inventory import write_physical
+    from invlens.streaming import monitor_probes, start_monitor
+
+    tag = uuid.uuid4().hex[:12]
+    base = f"{checkpoint_dir(spark).rstrip('/')}/invlens-probes-{tag}"
+    _, phys = fixture_tables(spark, sf)
+    write_physical(phys, f"{base}/data", mode="overwrite")
+    stream = spark.readStream.schema(FILE_PHYSICAL).option("basePath", f"{base}/data").parquet(f"{base}/data")
+    name = f"probe_monitor_{tag}"
+    query = start_monitor(monitor_probes(stream), name, f"{base}/checkpoint", available_now=True)
+    query.awaitTermination()
+    return spark.table(name)
+
+
 _dept_run = lambda r: (
     f"SELECT {O.DEPT} AS dept, count(*) AS files, {S0('size')} AS bytes FROM scan_results "
     f"WHERE run_id = '{r}' AND {O.DEPT} <> '' GROUP BY 1"
