@@ -16,16 +16,17 @@ Prints one JSON line: {"metric", "value" (sum of query seconds), "unit",
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import sys
-import tempfile
 import time
 
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from invlens.sources import fixture as fixture_module  # noqa: E402
 from invlens.plans import acl, age, capacity, duplicates, overview, ownership, physical, size  # noqa: E402
 from invlens.plans.export_batch import export_standard  # noqa: E402
 from invlens.session import build_session  # noqa: E402
@@ -46,7 +47,10 @@ FILES = int(os.environ.get("BENCH_FILES", "32"))
 BUCKETS = int(os.environ.get("BENCH_BUCKETS", "32"))
 REPEAT = int(os.environ.get("BENCH_REPEAT", "3"))
 SF = os.path.basename(SF_DIR).replace("sf", "")
-DATA_DIR = os.environ.get("BENCH_DATA_DIR", f"/tmp/invlens-bench-data/sf{SF}-r2x{COPIES}-f{FILES}-b{BUCKETS}")
+# Bench tables are named after the code that derives them, so a changed fixture is never timed on old data.
+# BENCH_DATA_DIR must be a shared folder if executors run on other machines.
+FIXTURE = hashlib.md5(open(fixture_module.__file__, "rb").read()).hexdigest()[:8]
+DATA_DIR = os.environ.get("BENCH_DATA_DIR", f"/tmp/invlens-bench-data/sf{SF}-r2x{COPIES}-f{FILES}-b{BUCKETS}-{FIXTURE}")
 
 
 def prepare(spark) -> None:
@@ -109,7 +113,7 @@ def main() -> None:
         "duplicate_floor": lambda: duplicates.duplicate_floor(inv, run),
         "size_quantiles": lambda: size.size_quantiles(inv, run),
         "tree_depth": lambda: size.tree_depth(inv, run),
-        "standard_export_20_reports": lambda: export_standard(spark, inv, run, AS_OF, tempfile.mkdtemp(prefix="invlens-export-")),
+        "standard_export_20_reports": lambda: export_standard(spark, inv, run, AS_OF, f"{DATA_DIR}/export"),
     }
     rows = inv.where(F.col("run_id") == run).count()
     overview.total_files(inv, run).collect()  # warm-up
@@ -125,7 +129,7 @@ def main() -> None:
             timings[name] = round(best, 3)
         except Exception as exc:  # keep measuring the others; report the failure
             timings[name] = None
-            errors[name] = f"{type(exc).__name__}: {exc}"[:300]
+            errors[name] = f"{type(exc).__name__}: {exc}"
     out = {
         "metric": "inventory_reports_total_seconds",
         "value": round(sum(v for v in timings.values() if v is not None), 3),

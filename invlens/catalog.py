@@ -3,8 +3,10 @@
 Each entry is ``name -> (spark, sf_dir) -> DataFrame`` plus, where the
 report is expressible in SQL, an independent DuckDB query over the same
 fixture. Every entry reads ``orders`` of the given scale and derives the
-inventory from it, so its work grows with the data; none uses id
-subsets, modulo filters or row caps beyond the report's own top-k.
+inventory from it, so its work grows with the data. The derivation shapes
+rows with modulo arithmetic (which orders the earlier run has, which files
+lack a probe; see FIXTURES.md); no report leaves rows of its tables out, and
+the only limits are the reports' own top-k.
 """
 
 from __future__ import annotations
@@ -13,11 +15,23 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from invlens import oracle_sql as O
-from invlens.operators.joins import orphan_probes
+from invlens.operators.joins import capacity as capacity_of_files
+from invlens.operators.joins import missing_probes, orphan_probes
 from invlens.plans import acl, age, capacity, cost, directory, duplicates, overview, ownership, physical, runs, size
-from invlens.sources.fixture import AS_OF, DEFAULT_RUN, PREVIOUS_RUN, fixture_inventory, fixture_tables
+from invlens.sources import probes
+from invlens.sources.fixture import (
+    AS_OF,
+    DEFAULT_RUN,
+    PREVIOUS_RUN,
+    PROBE_TS,
+    file_physical_from_inventory,
+    fixture_inventory,
+    fixture_tables,
+    scan_results_from_orders,
+)
 
 RUN = DEFAULT_RUN
 W = O.with_fixture
@@ -287,7 +301,7 @@ inv_report(
     ),
     capacity.year_histogram,
     run_id=RUN,
-    files_only=True,
+    counts_only=True,
 )
 inv_report(
     "year_cohort_by_dept",
@@ -460,6 +474,7 @@ inv_report(
     ownership.service_accounts,
     run_id=RUN,
     human=False,
+    order_by="bytes",
 )
 inv_report(
     "service_account_folders",
@@ -1048,52 +1063,177 @@ _SNAPSHOT_SQL = W(
 )
 
 
-@register("inventory_monitor_stream", _SNAPSHOT_SQL)
-def _inventory_monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """M1 as a real stream: the derived inventory is written under the
-    session's checkpoint folder, read back as a file stream and aggregated
-    with an availableNow trigger into a memory table."""
+def _orders_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """``orders`` of the given scale as a file stream; a stream's source is a folder, so a single file is picked by name."""
+    path = f"{sf.rstrip('/')}/orders.parquet"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    one_file = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return stream.option("pathGlobFilter", "orders.parquet").parquet(sf) if one_file else stream.parquet(path)
+
+
+def _drained(agg: DataFrame, kind: str) -> DataFrame:
+    """Runs a monitor over all input that is there and returns its table: one row per run."""
     import uuid
 
     from invlens.session import checkpoint_dir
-    from invlens.sources.inventory import write_inventory
-    from invlens.streaming import inventory_stream, monitor_inventory, start_monitor
-
-    tag = uuid.uuid4().hex[:12]
-    base = f"{checkpoint_dir(spark).rstrip('/')}/invlens-monitor-{tag}"
-    write_inventory(fixture_inventory(spark, sf), f"{base}/data", mode="overwrite")
-    name = f"inventory_monitor_{tag}"
-    query = start_monitor(
-        monitor_inventory(inventory_stream(spark, f"{base}/data")), name, f"{base}/checkpoint", available_now=True
-    )
+    from invlens.streaming import start_monitor
+
+    spark, tag = agg.sparkSession, uuid.uuid4().hex[:12]
+    name = f"{kind}_monitor_{tag}"
+    query = start_monitor(agg, name, f"{checkpoint_dir(spark).rstrip('/')}/invlens-{kind}-{tag}", available_now=True)
     query.awaitTermination()
     return spark.table(name)
 
 
+@register("inventory_monitor_stream", _SNAPSHOT_SQL)
+def _inventory_monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 as a real stream: ``orders`` is streamed through the inventory
+    derivation and aggregated per run; the runs are then added up exactly."""
+    from invlens.streaming import inventory_totals, monitor_inventory
+
+    return inventory_totals(_drained(monitor_inventory(scan_results_from_orders(_orders_stream(spark, sf))), "inventory"))
+
+
 @register(
     "probe_monitor_stream",
     W("SELECT run_id, count(*) AS probed, min(probed_at) AS started, max(probed_at) AS latest FROM file_physical GROUP BY run_id"),
 )
 def _probe_monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """M2 as a real stream: the derived probe rows are written under the
-    session's checkpoint folder, read back as a file stream and aggregated
-    per run with an availableNow trigger into a memory table."""
+    """M2 as a real stream over the probe rows derived from streamed ``orders``."""
+    from invlens.streaming import monitor_probes
+
+    return _drained(monitor_probes(file_physical_from_inventory(scan_results_from_orders(_orders_stream(spark, sf)))), "probe")
+
+
+@register(
+    "probe_completion",
+    W(
+        "SELECT run_id, count(DISTINCT file_uri) AS files_probed, CAST(1000 AS BIGINT) AS expected, "
+        "100.0::DOUBLE * count(DISTINCT file_uri) / 1000 AS pct_done, count(DISTINCT file_uri) >= 1000 AS done FROM file_physical GROUP BY run_id"
+    ),
+)
+def _probe_completion(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct files probed per run against an expected number; re-probes don't count."""
+    from invlens.streaming import probe_completion
+
+    return probe_completion(fixture_tables(spark, sf)[1], 1000)
+
+
+@register(
+    "probe_load_stream",
+    W("SELECT run_id, count(*) AS probes, count(DISTINCT file_uri) AS files, CAST(sum(allocated) AS BIGINT) AS allocated FROM file_physical GROUP BY run_id"),
+)
+def _probe_load_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: first probes arrive as text in two streamed loads, re-probes by a batch append; all are in one table.
+
+    The text and the table live under the session's checkpoint folder until
+    the answer (a row per run) is there.
+    """
     import uuid
 
-    from invlens.schema import FILE_PHYSICAL
     from invlens.session import checkpoint_dir
-    from invlens.sources.inventory import write_physical
-    from invlens.streaming import monitor_probes, start_monitor
-
-    tag = uuid.uuid4().hex[:12]
-    base = f"{checkpoint_dir(spark).rstrip('/')}/invlens-probes-{tag}"
-    _, phys = fixture_tables(spark, sf)
-    write_physical(phys, f"{base}/data", mode="overwrite")
-    stream = spark.readStream.schema(FILE_PHYSICAL).option("basePath", f"{base}/data").parquet(f"{base}/data")
-    name = f"probe_monitor_{tag}"
-    query = start_monitor(monitor_probes(stream), name, f"{base}/checkpoint", available_now=True)
-    query.awaitTermination()
-    return spark.table(name)
+    from invlens.sources.inventory import read_physical
+    from invlens.sources.probes import append_physical
+    from invlens.streaming import load_probe_stream
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/invlens-load-{uuid.uuid4().hex[:12]}"
+    phys = fixture_tables(spark, sf)[1]
+    first = F.col("probed_at") == F.lit(PROBE_TS[0]).cast("timestamp_ntz")
+    line = F.concat_ws("\t", "run_id", "file_uri", F.col("allocated").cast("string")).alias("value")
+    for run in (PREVIOUS_RUN, RUN):
+        phys.where(first & (F.col("run_id") == run)).select(line).write.mode("append").text(f"{base}/lines")
+        load_probe_stream(spark, f"{base}/lines", f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    append_physical(phys.where(~first), f"{base}/table")
+    got = read_physical(spark, f"{base}/table").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("probes"), F.count_distinct("file_uri").alias("files"), F.sum("allocated").alias("allocated")
+    )
+    out = spark.createDataFrame(got.collect(), got.schema)  # a row per run
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
+# ------------------------------------------------------- probe feed and result texts
+phys_report(
+    "probe_feed",
+    W(f"SELECT run_id, file_uri FROM scan_results WHERE {R} AND {O.IS_FILE}"),
+    lambda inv, phys: probes.probe_feed(inv, RUN),
+)
+phys_report(
+    "windows_paths",
+    W(
+        "SELECT file_uri, 'S:' || chr(92) || replace(url_decode(substr(file_uri, length('win://host/S/') + 1)), '/', chr(92)) AS win_path "
+        f"FROM scan_results WHERE {R} AND {O.IS_FILE}"
+    ),
+    lambda inv, phys: probes.classify_probe_rows(probes.probe_feed(inv, RUN)).select("file_uri", "win_path"),
+)
+
+
+def _result_lines(phys: DataFrame) -> DataFrame:
+    """Probe result lines of which some don't parse: the number is text, a tab is missing, or both."""
+    n = F.col("allocated")
+    number = F.when(n % 7 == 0, F.lit("n/a")).otherwise(n.cast("string"))
+    whole = F.concat_ws("\t", "run_id", "file_uri", number)
+    return phys.select(F.when(n % 7 == 1, F.col("file_uri")).when(n % 7 == 2, F.concat_ws("\t", "run_id", "file_uri")).otherwise(whole).alias("value"))
+
+
+phys_report(
+    "probe_results_parsed",
+    W("SELECT run_id, file_uri, allocated FROM file_physical WHERE allocated % 7 > 2"),
+    lambda inv, phys: probes.parse_probe_results(_result_lines(phys)).drop("probed_at"),
+)
+phys_report(
+    "probe_rejects",
+    W(
+        "SELECT CASE allocated % 7 WHEN 0 THEN 'BAD_NUMBER' WHEN 1 THEN 'NO_TAB' ELSE 'ONE_TAB' END AS reject_reason, "
+        "CASE allocated % 7 WHEN 0 THEN run_id || chr(9) || file_uri || chr(9) || 'n/a' WHEN 1 THEN file_uri ELSE run_id || chr(9) || file_uri END AS original "
+        "FROM file_physical WHERE allocated % 7 <= 2"
+    ),
+    lambda inv, phys: probes.probe_result_rejects(_result_lines(phys)),
+)
+inv_report(
+    "strict_orphan_count",
+    W(f"SELECT count_if(owner_sid <> '' AND owner_name LIKE 'S-1-%') AS orphans FROM scan_results WHERE {R}"),
+    overview.orphan_count,
+    run_id=RUN,
+    mode="strict",
+)
+for _mode, _else in (("zero", "0"), ("logical", "s.size")):
+    phys_report(
+        f"capacity_physical_missing_{_mode}",
+        W(
+            f"SELECT CAST(sum(COALESCE(l.allocated, {_else})) AS BIGINT) AS capacity_bytes FROM scan_results s "
+            f"LEFT JOIN (SELECT * FROM latest WHERE {PR}) l ON l.run_id = s.run_id AND l.file_uri = s.file_uri WHERE s.{R} AND s.filename <> ''",
+            O.LATEST,
+        ),
+        capacity_of_files,
+        run_id=RUN,
+        size_metric="Physical",
+        on_missing=_mode,
+    )
+phys_report(
+    "missing_files_first20",
+    W(
+        f"SELECT file_uri FROM scan_results s WHERE {R} AND {O.IS_FILE} AND NOT EXISTS "
+        f"(SELECT 1 FROM file_physical p WHERE p.run_id = s.run_id AND p.file_uri = s.file_uri) ORDER BY file_uri LIMIT 20"
+    ),
+    missing_probes,
+    run_id=RUN,
+    limit=20,
+)
+
+
+@register(
+    "content_duplicates",
+    "SELECT hash, size, count(*) AS copies, CAST((count(*) - 1) * size AS BIGINT) AS wasted_bytes FROM "
+    "(SELECT sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents) WHERE size > 0 GROUP BY hash, size HAVING count(*) >= 2",
+)
+def _content_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """R70 over the documents as files: equal content by hash and size."""
+    docs = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
+    files = docs.select(F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+    return duplicates.content_duplicates(files).select("hash", "size", "copies", "wasted_bytes")
 
 
 _dept_run = lambda r: (

@@ -13,6 +13,7 @@ TIB = 1099511627776.0  # pow(1024, 4)
 LEGACY_TOP_FOLDER_RE = r"^[^\/]*[\/]+[^\/]*[\/]+([^\/]+)"
 WIN_URI_RE = r"(?i)^win://[^/]+/([A-Za-z])/(.*)$"
 SOURCE_RE = r"^(win://[^/]+/[^/]+)/"
+LAST_SEGMENT_RE = r"([^\/]+)$"
 LONG_PATH_LIMIT = 248
 LONG_PATH_PREFIX = "\\\\?\\"
 ACE_CAP = 40
@@ -101,7 +102,7 @@ def top_folder_legacy(column="file_path") -> Column:
 
 def parent_dir(column="file_path") -> Column:
     """Strip a trailing name segment (a no-op on paths ending in '/')."""
-    return F.regexp_replace(_c(column), r"([^\/]+)$", "")
+    return F.regexp_replace(_c(column), LAST_SEGMENT_RE, "")
 
 
 def windows_path(column="file_uri") -> Column:

@@ -10,6 +10,6 @@ from invlens.operators.aggregates import (
     with_share,
 )
 from invlens.operators.compare import compare_reports, compare_runs, reconcile, unpivot_metrics
-from invlens.operators.joins import capacity, fits_broadcast, missing_probes, orphan_probes, with_physical
+from invlens.operators.joins import capacity, missing_probes, orphan_probes, with_physical
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -17,6 +17,8 @@ from invlens.functions.scalars import half_even_round
 # Sub-buckets per power of two used to split the value histogram for exact
 # quantiles: 64 octaves x 4096 = at most 262,144 buckets per sign.
 QUANTILE_BUCKETS_PER_OCTAVE = 4096
+QUANTILE_CUTS = 4096
+QUANTILE_LEVELS = 2
 
 
 def latest_physical(phys: DataFrame, keys: Sequence[str] = ("run_id", "file_uri")) -> DataFrame:
@@ -48,16 +50,15 @@ def with_share(
     name: str = "pct",
     digits: int | None = 2,
     total: Column | None = None,
-    bounded: bool = True,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add ``100 * column / total``; total defaults to the column's sum over ``df``.
 
-    ``df`` is an aggregated result. With ``bounded`` (a group key from a
-    small fixed domain: bands, years, flag strings, owner classes,
-    departments) the total is a window over those few group rows, which
-    costs nothing extra. For a high-cardinality key pass ``bounded=False``:
-    the total becomes a scalar subquery, a second distributed aggregation
-    instead of one task holding every group.
+    ``df`` is an aggregated result. The total is a scalar subquery, a second
+    distributed aggregation, so no task holds every group. With ``bounded``
+    (only for a group key whose values are fixed in code: bands, owner
+    classes) the total is a window over those few group rows, which costs
+    nothing extra.
     """
     if total is not None:
         denom = total
@@ -93,6 +94,26 @@ def _monotone_bucket(v: Column) -> Column:
     return F.when(d >= 0, pos).otherwise(neg)
 
 
+def _of_candidates(hist: DataFrame, cand: DataFrame) -> DataFrame:
+    """Histogram rows of the candidates' buckets and value spans."""
+    inside = F.col("v").cast("double").between(F.col("from"), F.col("to"))
+    return hist.join(F.broadcast(cand), hist["b"].eqNullSafe(cand["cb"])).where(inside)
+
+
+def _narrowed(hist: DataFrame, cand: DataFrame) -> DataFrame:
+    """Each candidate's span cut into equal parts; the part that holds its rank becomes the span."""
+    fixed = ["name", "rank", "n", "total", "vmin", "vmax", "cb", "lo"]
+    d, span = F.col("v").cast("double"), F.col("to") - F.col("from")
+    part = F.coalesce(F.floor(F.try_divide(d - F.col("from"), span) * QUANTILE_CUTS), F.lit(0).cast("long"))
+    rows = _of_candidates(hist, cand).select("v", "c", *fixed, part.alias("part"))
+    parts = rows.groupBy(*fixed, "part").agg(
+        F.sum("c").alias("pc"), F.min(F.col("v").cast("double")).alias("from"), F.max(F.col("v").cast("double")).alias("to")
+    )
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("upto", F.col("lo") + F.sum("pc").over(before)).withColumn("lo", F.col("upto") - F.col("pc"))
+    return parts.where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("upto"))).select(*fixed, "from", "to")
+
+
 def exact_quantiles(
     df: DataFrame, value: Column | str, quantiles: dict[str, float], summary: bool = False
 ) -> DataFrame:
@@ -109,9 +130,12 @@ def exact_quantiles(
        third of all rows is one row after the map side);
     2. per log-scale bucket totals (bounded: at most 2 x 64 x 4096 rows) and
        their running count, which locate the bucket holding each target rank;
-    3. a running count over the histogram rows of those few buckets only.
+    3. twice, that bucket's span of values is cut into ``QUANTILE_CUTS`` equal
+       parts, whose totals (at most that many rows per target) locate the part
+       holding the rank; one bucket may hold very many distinct values;
+    4. a running count over the histogram rows of those few parts only.
 
-    Both uses of the histogram read the same shuffle: the bucket join is
+    All uses of the histogram read the same shuffle: the bucket join is
     null-safe so no extra filter is inferred into one branch.
     """
     v = F.col(value) if isinstance(value, str) else value
@@ -120,7 +144,7 @@ def exact_quantiles(
 
     buckets = hist.groupBy("b").agg(
         F.sum("c").alias("bc"),
-        F.sum(F.col("v") * F.col("c")).alias("bs"),
+        (F.sum(F.col("v") * F.col("c")) if summary else F.first(F.lit(None))).alias("bs"),
         F.min("v").alias("bmin"),
         F.max("v").alias("bmax"),
     )
@@ -129,7 +153,7 @@ def exact_quantiles(
     buckets = (
         buckets.withColumn("hi", F.sum("bc").over(order_w))
         .withColumn("n", F.sum("bc").over(everything))
-        .withColumn("total", F.sum("bs").over(everything))
+        .withColumn("total", F.sum("bs").over(everything) if summary else F.lit(None))
         .withColumn("vmin", F.min("bmin").over(everything))
         .withColumn("vmax", F.max("bmax").over(everything))
         .withColumn("lo", F.col("hi") - F.col("bc"))
@@ -137,14 +161,19 @@ def exact_quantiles(
     targets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
     rank = F.when(F.col("t.q") >= 1, F.col("n") - 1).otherwise(F.floor(F.col("t.q") * F.col("n")))
     cand = (
-        buckets.select("b", "lo", "hi", "n", "total", "vmin", "vmax", F.explode(targets).alias("t"))
-        .select("b", "lo", "hi", "n", "total", "vmin", "vmax", F.col("t.name").alias("name"), rank.alias("rank"))
+        buckets.select("b", "lo", "hi", "n", "total", "vmin", "vmax", "bmin", "bmax", F.explode(targets).alias("t"))
+        .select(
+            "b", "lo", "hi", "n", "total", "vmin", "vmax", F.col("t.name").alias("name"), rank.alias("rank"),
+            F.col("bmin").cast("double").alias("from"), F.col("bmax").cast("double").alias("to"),
+        )
         .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         .drop("hi")
         .withColumnRenamed("b", "cb")
     )
     # ``cand`` has at most one row per requested quantile.
-    picked = hist.join(F.broadcast(cand), hist["b"].eqNullSafe(cand["cb"]))
+    for _ in range(QUANTILE_LEVELS):
+        cand = _narrowed(hist, cand)
+    picked = _of_candidates(hist, cand)
     in_bucket = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = picked.withColumn("cum", F.col("lo") + F.sum("c").over(in_bucket)).where(F.col("cum") > F.col("rank"))
     aggs = [F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles]

@@ -14,12 +14,19 @@ def compare_reports(
     """Full outer join of two report results on ``keys`` with per-measure deltas.
 
     For every measure ``m`` the output has ``m_before``, ``m_after`` and
-    ``m_delta`` (after - before, a missing side counting as 0).
+    ``m_delta`` (after - before, a missing side counting as 0). NULL keys
+    pair with each other.
     """
     keys = list(keys)
-    b = before.select(*keys, *[F.col(m).alias(f"{m}_before") for m in measures])
-    a = after.select(*keys, *[F.col(m).alias(f"{m}_after") for m in measures])
-    out = b.join(a, keys, "full_outer")
+    b = before.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[F.col(m).alias(f"{m}_before") for m in measures])
+    a = after.select(*[F.col(k).alias(f"_a_{k}") for k in keys], *[F.col(m).alias(f"{m}_after") for m in measures])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_b_{k}").eqNullSafe(F.col(f"_a_{k}"))
+    out = b.join(a, same, "full_outer").select(
+        *[F.coalesce(f"_b_{k}", f"_a_{k}").alias(k) for k in keys],
+        *[f"{m}_{side}" for side in ("before", "after") for m in measures],
+    )
     for m in measures:
         out = out.withColumn(
             f"{m}_delta",

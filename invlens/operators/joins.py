@@ -9,37 +9,24 @@ from invlens.functions.predicates import is_file
 from invlens.operators.aggregates import latest_physical
 
 KEYS = ["run_id", "file_uri"]
-# Largest physical side (rows) that ``broadcast=True`` will ship to every
-# executor: a key of at most ~150 characters plus one long, so about 150 MB.
-DEFAULT_BROADCAST_ROW_CAP = 1_000_000
 
 
 def _for_run(df: DataFrame, run_id: str | None) -> DataFrame:
     return df if run_id is None else df.where(F.col("run_id") == run_id)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def with_physical(
     inv: DataFrame,
     phys: DataFrame,
     run_id: str | None = None,
     on_missing: str = "null",
-    broadcast: bool = False,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROW_CAP,
 ) -> DataFrame:
     """Inventory rows with the latest ``allocated`` bytes of the same file.
 
     A left join on ``(run_id, file_uri)`` against the latest-probe view,
     which is unique per key, so each inventory row matches at most once.
-    By default AQE picks the strategy at run time (sort-merge for large
-    sides, broadcast when the shuffled physical side is small). With
-    ``broadcast=True`` the physical side is broadcast only if it is proven
-    to hold at most ``max_broadcast_rows`` rows; otherwise the shuffle
-    join is kept.
+    AQE picks the strategy at run time from measured sizes: sort-merge for
+    large sides, broadcast when the shuffled physical side is small.
 
     ``on_missing`` sets ``allocated`` for files without a probe: ``null``,
     ``zero`` or ``logical`` (the logical size). ``probed`` flags matches.
@@ -49,8 +36,6 @@ def with_physical(
     # by ``file_uri`` needs no shuffle on either side).
     keys = ["file_uri"] if run_id is not None else KEYS
     latest = latest_physical(_for_run(phys, run_id), keys).select(*keys, F.col("allocated").alias("_alloc"))
-    if broadcast and fits_broadcast(latest, max_broadcast_rows):
-        latest = F.broadcast(latest)
     joined = _for_run(inv, run_id).join(latest, keys, "left")
     probed = F.col("_alloc").isNotNull()
     if on_missing == "null":
@@ -82,10 +67,14 @@ def capacity(
 
 
 def missing_probes(inv: DataFrame, phys: DataFrame, run_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """Files of the run with no allocation row (anti join, not ``NOT IN``)."""
+    """Files of the run with no allocation row (anti join, not ``NOT IN``).
+
+    Probe keys are made distinct first, map-side before the shuffle, so a file
+    probed millions of times is one row per task.
+    """
     keys = ["file_uri"] if run_id is not None else KEYS
     files = _for_run(inv, run_id).where(is_file()).select(*keys)
-    probed = _for_run(phys, run_id).select(*keys)
+    probed = _for_run(phys, run_id).select(*keys).distinct()
     out = files.join(probed, keys, "left_anti").select("file_uri")
     if limit is not None:
         out = out.orderBy("file_uri").limit(limit)

@@ -25,7 +25,8 @@ def acl_flag_distribution(inv: DataFrame, run_id: str | None = None, limit: int
 def acl_pattern_classifier(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Files and bytes per raw-ACL pattern."""
     rows = for_run(inv, run_id).withColumn("pattern", acl_pattern())
-    return rows.groupBy("pattern").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
+    g = rows.groupBy("pattern").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
+    return g.orderBy(*desc_then("files"), "pattern")
 
 
 def top_dirs_broken_inheritance(

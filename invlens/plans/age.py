@@ -57,7 +57,7 @@ def dormancy_by_dept(
             .withColumn("status_5y", status("pct_ancient_5y", ANCIENT_PCT_STEPS))
         )
     if limit is None:
-        return g
+        return g.orderBy(*desc_then(order_by), "dept")
     return top_k(g, desc_then(order_by), limit, ["dept"])
 
 
@@ -67,14 +67,14 @@ def age_bands(inv: DataFrame, run_id: str | None = None, as_of=None, by: str = "
     rows = for_run(inv, run_id).withColumn("band", age_band(by, edges, rest, as_of))
     g = rows.groupBy("band").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
     g = g.withColumn("bytes_human", human_size("bytes"))
-    g = with_share(g, "files", "pct_files")
-    return with_share(g, "bytes", "pct_bytes")
+    g = with_share(g, "files", "pct_files", bounded=True)
+    return with_share(g, "bytes", "pct_bytes", bounded=True).orderBy("band")
 
 
 def capacity_by_age(inv: DataFrame, run_id: str | None = None, as_of=None, by: str = "modified") -> DataFrame:
     """Bytes per modification-age band."""
     rows = for_run(inv, run_id).withColumn("age", age_band(by, MODIFIED_AGE_BANDS, MODIFIED_AGE_REST, as_of))
-    return rows.groupBy("age").agg(sum_or_zero("size").alias("bytes"))
+    return rows.groupBy("age").agg(sum_or_zero("size").alias("bytes")).orderBy("age")
 
 
 def extension_age_matrix(inv: DataFrame, run_id: str | None = None, as_of=None, limit: int = 25) -> DataFrame:

@@ -25,7 +25,7 @@ def dept_breakdown(inv: DataFrame, run_id: str | None = None, pct: bool = False)
     g = g.withColumn("bytes_human", human_size("bytes"))
     if pct:
         g = with_share(g, "bytes", "pct_bytes").where(F.col("dept") != "")
-    return g
+    return g.orderBy(*desc_then("bytes"), "dept")
 
 
 def dept_capacity_top(inv: DataFrame, run_id: str | None = None, limit: int = 16) -> DataFrame:
@@ -36,7 +36,7 @@ def dept_capacity_top(inv: DataFrame, run_id: str | None = None, limit: int = 16
 
 
 def year_histogram(
-    inv: DataFrame, run_id: str | None = None, lo: int = 2015, hi: int = 2027, pct: bool = False, files_only: bool = False
+    inv: DataFrame, run_id: str | None = None, lo: int = 2015, hi: int = 2027, pct: bool = False, counts_only: bool = False
 ) -> DataFrame:
     """Files (and bytes) per creation year in ``[lo, hi]``.
 
@@ -46,13 +46,13 @@ def year_histogram(
     rows = for_run(inv, run_id).withColumn("year", F.year("created"))
     if not pct:
         rows = rows.where(F.col("year").between(lo, hi))
-    if files_only:
+    if counts_only:
         g = rows.groupBy("year").agg(n_rows().alias("files"))
     else:
         g = rows.groupBy("year").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
     if pct:
         g = with_share(g, "files", "pct_files").where(F.col("year").between(lo, hi))
-    return g
+    return g.orderBy("year")
 
 
 def year_cohort_by_dept(inv: DataFrame, run_id: str | None = None, year: int = 2019, limit: int = 10) -> DataFrame:

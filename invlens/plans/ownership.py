@@ -25,16 +25,18 @@ def chargeback(
         "chargeback_group", chargeback_group(domain=domain, exclude_all_employees=exclude_all_employees, mode=mode)
     )
     if bytes_only:
-        return rows.groupBy("chargeback_group").agg(sum_or_zero("size").alias("bytes"))
+        g = rows.groupBy("chargeback_group").agg(sum_or_zero("size").alias("bytes"))
+        return g.orderBy(*desc_then("bytes"), "chargeback_group")
     g = rows.groupBy("chargeback_group").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
-    return g.withColumn("bytes_human", human_size("bytes"))
+    return g.withColumn("bytes_human", human_size("bytes")).orderBy(*desc_then("bytes"), "chargeback_group")
 
 
 def ownership_split(inv: DataFrame, run_id: str | None = None, pct: bool = False, domain: str = "DEMO") -> DataFrame:
     """Files and bytes per owner class (R7); ``pct`` adds the share of files."""
     rows = for_run(inv, run_id).withColumn("bucket", owner_class(domain=domain))
     g = rows.groupBy("bucket").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
-    return with_share(g, "files", "pct_files") if pct else g
+    g = with_share(g, "files", "pct_files", bounded=True) if pct else g
+    return g.orderBy(*desc_then("files"), "bucket")
 
 
 def orphan_sids(
@@ -59,14 +61,15 @@ def orphan_sids(
 
 
 def service_accounts(
-    inv: DataFrame, run_id: str | None = None, human: bool = True, folders: bool = False, domain: str = "DEMO"
+    inv: DataFrame, run_id: str | None = None, human: bool = True, folders: bool = False, domain: str = "DEMO", order_by: str = "files"
 ) -> DataFrame:
-    """Files and bytes per service account (R14); ``folders`` adds folders touched."""
+    """Files and bytes per service account (R14), most files or bytes first; ``folders`` adds folders touched."""
     aggs = [n_rows().alias("files"), sum_or_zero("size").alias("bytes")]
     if folders:
         aggs.append(F.count_distinct("file_path").alias("folders"))
     g = for_run(inv, run_id).where(is_service_account(domain)).groupBy("owner_name").agg(*aggs)
-    return g.withColumn("bytes_human", human_size("bytes")) if human else g
+    g = g.withColumn("bytes_human", human_size("bytes")) if human else g
+    return g.orderBy(*desc_then(order_by), "owner_name")
 
 
 def top_owners(inv: DataFrame, run_id: str | None = None, by: str = "bytes", limit: int = 10) -> DataFrame:

@@ -52,22 +52,45 @@ FILE_PHYSICAL = T.StructType(
     ]
 )
 
-# Timestamp layouts accepted from text sources, tried in order (lenient parse).
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm:ss",
-)
+# Timestamp layouts accepted from text sources beside ISO date-times and epoch seconds, tried in order.
+TIMESTAMP_FORMATS = ("dd/MM/yyyy HH:mm:ss",)
+_ISO = r"^\d{4}-\d\d-\d\d([ T]\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:?\d\d)?)?$"
+_EPOCH = r"^\d{9,11}(\.\d{1,9})?$"
 
 
 def lenient_timestamp(c: Column) -> Column:
-    """First timestamp layout that parses; NULL when none does."""
-    text = c.cast("string")
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    """A text as a timestamp; NULL when no layout fits.
+
+    ISO dates and date-times with a blank or ``T``, up to nine fraction digits
+    (microseconds are kept) and an optional ``Z`` or offset, which is brought
+    to the session's zone (UTC); ``dd/MM/yyyy HH:mm:ss``; epoch seconds.
+    """
+    text = F.trim(c.cast("string"))
+    iso = F.when(text.rlike(_ISO), F.regexp_replace(text, r"([+-]\d\d)(\d\d)$", "$1:$2").try_cast("timestamp"))
+    epoch = F.when(text.rlike(_EPOCH), F.timestamp_micros((text.try_cast("decimal(21,9)") * 1_000_000).cast("long")))
+    other = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]
+    return F.coalesce(iso, epoch, *other).cast("timestamp_ntz")
+
+
+def parse_text(schema: T.StructType, columns: list[str]) -> tuple[dict[str, Column], Column]:
+    """How each column of a text source is read, and the names of the columns that can't be, as an array.
+
+    An empty text stays empty in text columns (no owner, directory row) and is
+    NULL in all others; any other text that gives no value is unreadable.
+    """
+    parsed, bad = {}, []
+    for field in schema.fields:
+        if field.name not in columns:
+            parsed[field.name] = F.lit(None).cast(field.dataType)
+            continue
+        text = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            parsed[field.name] = F.when(text.isNull(), F.lit("")).otherwise(text)
+            continue
+        value = lenient_timestamp(text) if isinstance(field.dataType, T.TimestampNTZType) else F.trim(text).try_cast(field.dataType)
+        parsed[field.name] = value
+        bad.append(F.when((F.trim(text) != "") & value.isNull(), F.lit(field.name)))
+    return parsed, F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
 
 
 def enforce_schema(df: DataFrame, schema: T.StructType, lenient_time: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ def _write_one(name: str, rep, out_dir: str, single_file: bool) -> tuple:
         df.write.mode("overwrite").option("header", "true").csv(target)
         return (name, True, target, None)
     except Exception as exc:  # collected per report, the batch goes on
-        return (name, False, target, f"{type(exc).__name__}: {exc}"[:2000])
+        return (name, False, target, f"{type(exc).__name__}: {exc}")
 
 
 def export_reports(

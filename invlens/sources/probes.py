@@ -41,26 +41,40 @@ def load_probe_tsv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _probe_parts(lines: DataFrame) -> DataFrame:
+    """Lines with their parts and ``reject_reason`` (NULL when they parse); blank lines are left out."""
+    v = F.col("value")
+    first, from_end = F.instr(v, TAB), F.instr(F.reverse(v), TAB)
+    last = F.length(v) - from_end + 1
+    alloc = F.when(from_end > 0, F.substring(v, last + 1, F.length(v)).try_cast("bigint"))
+    reason = (
+        F.when(first == 0, F.lit("NO_TAB"))
+        .when(first == last, F.lit("ONE_TAB"))
+        .when(alloc.isNull(), F.lit("BAD_NUMBER"))
+    )
+    return lines.where(F.trim(v) != "").select(
+        F.substring(v, F.lit(1), first - 1).alias("run_id"),
+        F.substring(v, first + 1, last - first - 1).alias("file_uri"),
+        alloc.alias("allocated"),
+        reason.alias("reject_reason"),
+        v.alias("original"),
+    )
+
+
 def parse_probe_results(lines: DataFrame, probed_at=None) -> DataFrame:
     """``run_id<TAB>file_uri<TAB>allocated`` text lines -> allocation rows.
 
-    The first tab ends ``run_id`` and the last tab starts ``allocated``;
-    lines that do not parse are dropped. ``probed_at`` defaults to the
-    load time, like the table default.
+    The first tab ends ``run_id`` and the last tab starts ``allocated``.
+    Lines that do not parse come out of :func:`probe_result_rejects`.
+    ``probed_at`` defaults to the load time, like the table default.
     """
-    v = F.col("value")
-    first = F.instr(v, TAB)
-    last_from_end = F.instr(F.reverse(v), TAB)
-    n = F.length(v)
-    run_id = F.expr("substring(value, 1, instr(value, '\t') - 1)")
-    middle = F.expr(
-        "substring(value, instr(value, '\t') + 1, length(value) - instr(reverse(value), '\t') - instr(value, '\t'))"
-    )
-    alloc = F.expr("try_cast(substring(value, length(value) - instr(reverse(value), '\t') + 2) AS BIGINT)")
-    ok = (n > 0) & (first > 0) & (last_from_end > 0) & (first < n - last_from_end + 1)
-    out = lines.where(ok).select(run_id.alias("run_id"), middle.alias("file_uri"), alloc.alias("allocated"))
-    out = out.where(F.col("allocated").isNotNull())
-    return with_probed_at(out, probed_at)
+    rows = _probe_parts(lines).where(F.col("reject_reason").isNull())
+    return with_probed_at(rows.select("run_id", "file_uri", "allocated"), probed_at)
+
+
+def probe_result_rejects(lines: DataFrame) -> DataFrame:
+    """(reject_reason, original) of the lines that do not parse: NO_TAB, ONE_TAB or BAD_NUMBER."""
+    return _probe_parts(lines).where(F.col("reject_reason").isNotNull()).select("reject_reason", "original")
 
 
 def load_probe_results(spark: SparkSession, path: str, probed_at=None) -> DataFrame:
@@ -119,6 +133,8 @@ def write_with_rejects(feed: DataFrame, path: str) -> None:
 def compact_physical(phys: DataFrame, out_path: str, run_id: str | None = None) -> None:
     """Write the latest probe per file (one row per key) to ``out_path``, partitioned by run.
 
+    Only the runs compacted now are replaced there; other runs stay.
+
     The compacted copy is what a merge-on-write store keeps; reports give
     the same results on it and on the append-only original. It is written
     to a new location (a table is never overwritten while it is read).
@@ -130,21 +146,24 @@ def compact_physical(phys: DataFrame, out_path: str, run_id: str | None = None)
         enforce_schema(latest_physical(src), FILE_PHYSICAL)
         .sortWithinPartitions("run_id", "file_uri")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .parquet(out_path)
     )
 
 
 def drop_run(spark: SparkSession, run_id: str, path: str | None = None, table: str | None = None) -> None:
-    """Remove one run's allocation rows (catalog partition or ``run_id=`` folder)."""
+    """Remove one run's allocation rows (catalog partition or ``run_id=`` folder); an unknown run is an error."""
     if table is not None:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (run_id = '{run_id}')")
+        literal = run_id.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {table} DROP PARTITION (run_id = '{literal}')")
         return
     if path is None:
         raise ValueError("give path or table")
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    part = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/run_id={run_id}")
-    fs = part.getFileSystem(conf)
-    if fs.exists(part):
-        fs.delete(part, True)
+    folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/run_id={folder}")
+    fs = part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(part):
+        raise ValueError(f"no run {run_id!r} in {path}")
+    fs.delete(part, True)

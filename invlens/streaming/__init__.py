@@ -2,10 +2,20 @@
 
 from invlens.streaming.monitor import (
     inventory_stream,
+    inventory_totals,
     load_probe_stream,
     monitor_inventory,
     monitor_probes,
+    probe_completion,
     start_monitor,
 )
 
-__all__ = ["inventory_stream", "load_probe_stream", "monitor_inventory", "monitor_probes", "start_monitor"]
+__all__ = [
+    "inventory_stream",
+    "inventory_totals",
+    "load_probe_stream",
+    "monitor_inventory",
+    "monitor_probes",
+    "probe_completion",
+    "start_monitor",
+]

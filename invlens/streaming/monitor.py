@@ -12,6 +12,7 @@ append-only and every report reads it through the latest-probe view.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from invlens.functions.scalars import human_size
 from invlens.schema import FILE_PHYSICAL, SCAN_RESULTS
 from invlens.session import checkpoint_dir
-from invlens.sources.probes import parse_probe_results
+from invlens.sources.probes import parse_probe_results, probe_result_rejects
 
 
 def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
@@ -37,39 +38,51 @@ def inventory_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 
 
 def monitor_inventory(stream: DataFrame) -> DataFrame:
-    """Global running aggregate: rows, runs (approximate), newest ``modified`` as text, total size.
-
-    Exact distinct counts are not supported in streaming aggregations, so
-    runs use ``approx_count_distinct`` (exact for small counts in practice).
-    """
-    return stream.agg(
+    """Running totals per run: rows, newest ``modified``, total size. :func:`inventory_totals` adds the runs up."""
+    return stream.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.approx_count_distinct("run_id").alias("runs"),
-        F.date_format(F.max("modified"), "yyyy-MM-dd HH:mm:ss.SSS").alias("newest_modified"),
-        F.coalesce(F.sum("size"), F.lit(0).cast("long")).alias("_bytes"),
+        F.max("modified").alias("newest_modified"),
+        F.coalesce(F.sum("size"), F.lit(0).cast("long")).alias("bytes"),
+    )
+
+
+def inventory_totals(per_run: DataFrame) -> DataFrame:
+    """The monitor's rows as one: rows, runs (exact), newest ``modified`` as text, total size."""
+    return per_run.agg(
+        F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("rows"),
+        F.count("run_id").alias("runs"),
+        F.date_format(F.max("newest_modified"), "yyyy-MM-dd HH:mm:ss.SSS").alias("newest_modified"),
+        F.coalesce(F.sum("bytes"), F.lit(0).cast("long")).alias("_bytes"),
     ).select("rows", "runs", "newest_modified", human_size("_bytes").alias("total_bytes"))
 
 
-def monitor_probes(stream: DataFrame, expected: Mapping[str, int] | int | None = None) -> DataFrame:
-    """Per run: probe rows, first and last probe time, and progress against ``expected``.
+def monitor_probes(stream: DataFrame) -> DataFrame:
+    """Per run: probe rows, first and last probe time. A file probed again counts again."""
+    return stream.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("probed"), F.min("probed_at").alias("started"), F.max("probed_at").alias("latest")
+    )
+
+
+def probe_completion(phys: DataFrame, expected: Mapping[str, int] | int) -> DataFrame:
+    """Per run of the loaded table: distinct files probed, and progress against ``expected``.
 
     ``expected`` is the number of files per run (a mapping) or one number
-    for every run; ``done`` turns true once the probes reach it.
+    for every run; ``done`` turns true once that many different files have a
+    probe. Re-probes of a file don't count. ``phys`` may also be a stream of the
+    allocation table with ``dropDuplicates`` on the key.
     """
-    g = stream.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("probed"), F.min("probed_at").alias("started"), F.max("probed_at").alias("latest")
-    )
-    if expected is None:
-        return g
+    keys = phys.select("run_id", "file_uri")
+    files = keys if phys.isStreaming else keys.distinct()
+    g = files.groupBy("run_id").agg(F.count(F.lit(1)).alias("files_probed"))
     if isinstance(expected, Mapping):
         lookup = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(int(v)))])
-        exp = lookup[F.col("run_id")]
+        exp = F.try_element_at(lookup, F.col("run_id")) if expected else F.lit(None)
     else:
         exp = F.lit(int(expected))
     return (
         g.withColumn("expected", exp.cast("long"))
-        .withColumn("pct_done", F.try_divide(F.lit(100.0) * F.col("probed"), F.col("expected")))
-        .withColumn("done", F.col("probed") >= F.col("expected"))
+        .withColumn("pct_done", F.try_divide(F.lit(100.0) * F.col("files_probed"), F.col("expected")))
+        .withColumn("done", F.col("files_probed") >= F.col("expected"))
     )
 
 
@@ -92,6 +105,31 @@ def start_monitor(
     return w.start()
 
 
+def _land(spark: SparkSession, staged: str, dst: str, load_id: str) -> None:
+    """Moves staged ``run_id=`` files into ``dst`` under names of this load; files of an earlier try of the load go first.
+
+    A micro-batch is repeated as a whole after a failure, so its files are
+    replaced as a whole: each load is in the table once.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    root, target = path(staged), path(dst)
+    fs = target.getFileSystem(conf)
+    for old in fs.globStatus(path(f"{dst.rstrip('/')}/run_id=*/load-{load_id}-*")) or []:
+        fs.delete(old.getPath(), False)
+    if not fs.exists(root):
+        return
+    for folder in fs.listStatus(root):
+        if folder.isDirectory() and folder.getPath().getName().startswith("run_id="):
+            into = path(target, folder.getPath().getName())
+            fs.mkdirs(into)
+            for f in fs.listStatus(folder.getPath()):
+                name = f.getPath().getName()
+                if name.startswith("part-") and not fs.rename(f.getPath(), path(into, f"load-{load_id}-{name}")):
+                    raise OSError(f"could not move {f.getPath()} into {into}")
+    fs.delete(root, True)
+
+
 def load_probe_stream(
     spark: SparkSession,
     src: str,
@@ -99,23 +137,38 @@ def load_probe_stream(
     checkpoint: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Append probe result files (``run_id<TAB>file_uri<TAB>allocated``) to ``dst``.
 
-    The Parquet file sink commits each micro-batch in its metadata log, so
-    a restart resumes from the checkpoint without loading a file twice;
-    ``probed_at`` is the load time of the micro-batch.
+    Each micro-batch becomes plain Parquet files in the ``run_id=`` folders,
+    as :func:`append_physical` writes them, so streamed and batch loads share
+    one table and any reader sees both. A repeated micro-batch replaces its
+    own files. Lines that do not parse go to ``rejects`` (``<dst>_rejects`` if
+    not given), one folder per load. ``probed_at`` is the load time of the
+    micro-batch. Without ``checkpoint`` the folder is named by source and
+    target, so that several loads can run side by side.
     """
+    name = hashlib.md5(f"{src}|{dst}".encode()).hexdigest()[:16]
+    where = _checkpoint(spark, f"probe-load-{name}", checkpoint)
+    stream_id = hashlib.md5(where.encode()).hexdigest()[:12]
+    bad = rejects or f"{dst.rstrip('/')}_rejects"
+
+    def load(lines: DataFrame, batch: int) -> None:
+        load_id = f"{stream_id}-{batch}"
+        lines.persist()
+        try:
+            staged = f"{dst.rstrip('/')}/_loads/{load_id}"
+            rows = parse_probe_results(lines).select(*[f.name for f in FILE_PHYSICAL.fields])
+            rows.sortWithinPartitions("run_id", "file_uri").write.mode("overwrite").partitionBy("run_id").parquet(staged)
+            _land(lines.sparkSession, staged, dst, load_id)
+            probe_result_rejects(lines).write.mode("overwrite").parquet(f"{bad.rstrip('/')}/load={load_id}")
+        finally:
+            lines.unpersist()
+
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = parse_probe_results(r.load(src)).select(*[f.name for f in FILE_PHYSICAL.fields])
-    w = (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("run_id")
-        .option("path", dst)
-        .option("checkpointLocation", _checkpoint(spark, "probe-load", checkpoint))
-    )
+    w = r.load(src).writeStream.foreachBatch(load).option("checkpointLocation", where)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()

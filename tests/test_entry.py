@@ -11,7 +11,10 @@ def test_entry_runs(spark):
 
 
 def test_queries_and_oracle_keys():
+    from invlens import catalog
+
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert q and set(q) == set(o)
+    assert q and set(o) <= set(q) and set(catalog.queries()) == set(catalog.oracle()) <= set(o)
     assert all(callable(f) for f in q.values())
-    assert all(isinstance(v, str) and "scan_results" in v or "file_physical" in v for v in o.values())
+    tables = ("scan_results", "file_physical", "documents")
+    assert all(isinstance(v, str) and any(t in v for t in tables) for v in catalog.oracle().values())

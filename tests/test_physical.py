@@ -49,14 +49,31 @@ def test_with_physical_on_missing(tables, mode, want):
     assert len(rows) == 4  # each inventory row exactly once
 
 
-def test_with_physical_checked_broadcast(tables):
+def test_with_physical_broadcast_is_left_to_aqe(tables):
     inv, phys = tables
-    plan_rows = with_physical(inv, phys, "r", broadcast=True, max_broadcast_rows=10)
-    assert plan_rows.count() == 4
-    plan = plan_rows._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan
-    big = with_physical(inv, phys, "r", broadcast=True, max_broadcast_rows=1)
-    assert big.count() == 4
+    joined = with_physical(inv, phys, "r")
+    planned = joined._jdf.queryExecution().executedPlan().toString()
+    assert "AdaptiveSparkPlan" in planned and "BroadcastHashJoin" not in planned
+    assert joined.count() == 4
+
+
+def test_hot_probe_is_reduced_before_the_shuffle(spark, tables):
+    inv, phys = tables
+    hot = phys.union(spark.range(5000).select(F.lit("r"), F.lit("u1"), F.col("id"), F.lit(T0).cast("timestamp_ntz")))
+    out = missing_probes(inv, hot, "r")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    anti = plan[plan.index("LeftAnti"):]
+    assert "HashAggregate" in anti
+    assert [r[0] for r in out.collect()] == ["u3"]
+
+
+def test_compare_pairs_null_keys(spark):
+    from invlens.operators.compare import compare_reports
+
+    a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, files long")
+    b = spark.createDataFrame([(None, 3), ("y", 4)], "k string, files long")
+    got = sorted((str(r["k"]), r["files_before"], r["files_after"], r["files_delta"]) for r in compare_reports(a, b, ["k"], ["files"]).collect())
+    assert got == [("None", 1, 3, 2), ("x", 2, None, -2), ("y", None, 4, 4)]
 
 
 def test_missing_and_orphans(tables):

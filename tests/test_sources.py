@@ -2,19 +2,22 @@
 
 import datetime as dt
 import os
+import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from invlens.schema import FILE_PHYSICAL, SCAN_RESULTS
 from invlens.sources.export import export_reports
 from invlens.sources.fixture import fixture_inventory
-from invlens.sources.inventory import list_runs, read_inventory, read_physical, read_report_csv, write_inventory
+from invlens.sources.inventory import list_runs, read_inventory, read_physical, read_report_csv, text_rejects, write_inventory
 from invlens.sources.probes import (
     append_physical,
     drop_run,
     load_probe_results,
     load_probe_tsv,
     probe_feed,
+    probe_result_rejects,
     split_rejects,
     write_probe_feed,
 )
@@ -50,6 +53,8 @@ def test_probe_text_parsing(spark, scratch):
     res = load_probe_results(spark, src, probed_at=dt.datetime(2024, 6, 1, 12))
     got = sorted((r["file_uri"], r["allocated"]) for r in res.collect())
     assert got == [("win://h/S/a", 4096), ("win://h/S/c", 0)]
+    bad = sorted(map(tuple, probe_result_rejects(spark.read.text(src)).collect()))
+    assert bad == [("BAD_NUMBER", "r\twin://h/S/b\tnotanumber"), ("NO_TAB", "no tab here")]
 
 
 def test_append_and_drop_run(spark, scratch):
@@ -60,6 +65,8 @@ def test_append_and_drop_run(spark, scratch):
     df = read_physical(spark, path)
     assert df.schema == FILE_PHYSICAL and df.count() == 4
     drop_run(spark, "r1", path=path)
+    with pytest.raises(ValueError):
+        drop_run(spark, "r1", path=path)
     assert [r[0] for r in read_physical(spark, path).select("run_id").distinct().collect()] == ["r2"]
 
 
@@ -86,22 +93,70 @@ def test_export_batch_keeps_going(spark, scratch):
     assert back.count() == 2
 
 
-def test_csv_source_lenient_time(spark, scratch):
-    path = os.path.join(scratch, "inv.csv")
+def test_csv_source_is_read_as_text(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="invlens-csv-"), "inv.csv")
+    times = {
+        "a": ("2024-01-02 03:04:05.123", dt.datetime(2024, 1, 2, 3, 4, 5, 123000)),
+        "b": ("2024-01-02T03:04:05", dt.datetime(2024, 1, 2, 3, 4, 5)),
+        "c": ("2024-01-02", dt.datetime(2024, 1, 2)),
+        "d": ("02/01/2024 03:04:05", dt.datetime(2024, 1, 2, 3, 4, 5)),
+        "e": ("2024-01-02T03:04:05.123456789Z", dt.datetime(2024, 1, 2, 3, 4, 5, 123456)),
+        "f": ("2024-01-02 03:04:05+0200", dt.datetime(2024, 1, 2, 1, 4, 5)),
+        "g": ("1704164645", dt.datetime(2024, 1, 2, 3, 4, 5)),
+        "h": ("", None),
+    }
     with open(path, "w") as fh:
-        fh.write("run_id,file_uri,size,modified\n")
-        fh.write("r,win://h/S/a,10,2024-01-02 03:04:05.123\n")
-        fh.write("r,win://h/S/b,20,2024-01-02T03:04:05\n")
-        fh.write("r,win://h/S/c,30,2024-01-02\n")
-    import pyspark.sql.types as T
-
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("run_id", "file_uri", "size", "modified")])
-    raw = spark.read.option("header", "true").schema(schema).csv(path)
-    from invlens.schema import enforce_schema
-
-    df = enforce_schema(raw, SCAN_RESULTS, lenient_time=True)
-    got = sorted(r["modified"] for r in df.collect())
-    assert got == [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 123000)]
+        fh.write("run_id,file_uri,size,modified,owner_name,filename,migrated\n")
+        for k, (text, _) in times.items():
+            fh.write(f"r,win://h/S/{k},10,{text},,,true\n")
+    df = read_inventory(spark, path, format="csv")
+    assert df.schema == SCAN_RESULTS
+    rows = {r["file_uri"][-1]: r for r in df.collect()}
+    assert {k: rows[k]["modified"] for k in times} == {k: v for k, (_, v) in times.items()}
+    assert all(r["owner_name"] == "" and r["filename"] == "" and r["size"] == 10 and r["migrated"] for r in rows.values())
+    with open(path, "a") as fh:
+        fh.write("r,win://h/S/x,many,yesterday,o,n,true\n")
+    with pytest.raises(Exception, match="unreadable"):
+        read_inventory(spark, path, format="csv").collect()
+    assert read_inventory(spark, path, format="csv", bad="skip").count() == len(times)
+    kept = [r for r in read_inventory(spark, path, format="csv", bad="null").collect() if r["file_uri"].endswith("x")]
+    assert kept[0]["size"] is None and kept[0]["modified"] is None
+    bad = text_rejects(spark, path, SCAN_RESULTS).collect()
+    assert len(bad) == 1 and bad[0]["reason"] == "size,modified" and "yesterday" in bad[0]["original"]
+
+
+def test_runs_with_special_ids(spark):
+    path = tempfile.mkdtemp(prefix="invlens-runs-") + "/phys"
+    rows = spark.createDataFrame([("a:1", "u", 1), ("o'b", "v", 2)], "run_id string, file_uri string, allocated long")
+    append_physical(rows, path, probed_at="2024-06-01 13:00:00")
+    drop_run(spark, "a:1", path=path)
+    assert [r[0] for r in read_physical(spark, path).select("run_id").collect()] == ["o'b"]
+
+
+def test_compaction_keeps_other_runs(spark):
+    from invlens.sources.probes import compact_physical
+
+    base = tempfile.mkdtemp(prefix="invlens-compact-")
+    rows = spark.createDataFrame([("a", "u", 1), ("b", "v", 2)], "run_id string, file_uri string, allocated long")
+    append_physical(rows, f"{base}/all", probed_at="2024-06-01 13:00:00")
+    for run in ("a", "b", "a"):
+        compact_physical(read_physical(spark, f"{base}/all"), f"{base}/small", run_id=run)
+    assert sorted(r[0] for r in read_physical(spark, f"{base}/small").select("run_id").collect()) == ["a", "b"]
+
+
+def test_bucketed_table_grows_by_runs(spark):
+    from invlens.sources.inventory import register_bucketed, write_bucketed
+
+    path, table = tempfile.mkdtemp(prefix="invlens-bucket-"), f"inv_grow_{os.getpid()}"
+    inv = fixture_inventory(spark, SF_SMALL)
+    for run in ("run-1", "run-2", "run-1"):
+        write_bucketed(inv.where(F.col("run_id") == run), table, path, 4)
+    got = {r["run_id"]: r["count"] for r in spark.table(table).groupBy("run_id").count().collect()}
+    assert got == {r["run_id"]: r["count"] for r in inv.groupBy("run_id").count().collect()}
+    assert spark.table(table).select(*inv.columns).exceptAll(inv).count() == 0
+    with pytest.raises(ValueError):
+        register_bucketed(spark, table, path + "-other", 4)
+    spark.sql(f"DROP TABLE {table}")
 
 
 def test_compact_physical_same_reports(spark, scratch):
