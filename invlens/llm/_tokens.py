@@ -9,14 +9,16 @@ size, so a frequent word is looked up and only new words are encoded.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: White space on which Python and the tokenizers library may differ; such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​  ﻿]")
-_GPT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_ENDED = r"(?=[,.;:!?]*(?:\s|\Z))"
+_SPACED = re.compile(rf" ?{_LETTERS}{_ENDED}|[,.;:!?]+(?!\S)| ?\S+|\s+(?!\S)|\s+")
+_BARE = re.compile(rf"{_LETTERS}{_ENDED}|[,.;:!?]+(?!\S)|\S+")
+_PLAIN = re.compile(f" ?{_LETTERS}")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -49,14 +51,14 @@ class WordEncoder:
 
     Byte-level vocabulary (``byte_level=True``): its pre-tokenizer always
     breaks before a run of non-space characters with at most one space in
-    front, and inside runs of white space as the pattern ``_GPT`` does.
-    Lower-casing vocabulary: white space is dropped and always breaks. In both
-    a run of letters and the punctuation that ends its piece are encoded
-    apart. Pieces of plain Latin letters go to the vocabulary's own model
-    directly; all other pieces go through the whole tokenizer.
+    front, and inside runs of white space as the pattern ``_SPACED`` does.
+    Lower-casing vocabulary: white space is dropped and always breaks. Both
+    break between a run of letters and the punctuation that ends the piece.
+    Pieces of plain Latin letters go to the vocabulary's own model directly;
+    all other pieces go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, byte_level: bool, limit: int = 200_000):
+    def __init__(self, path: str, byte_level: bool, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,19 +68,18 @@ class WordEncoder:
         self.known = _Known(self._piece, limit)
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        m = _PLAIN.fullmatch(piece)
-        if not m:
+        if not _PLAIN.fullmatch(piece):
             return self._whole(piece)
-        body = m[1] + m[2] if self.byte_level else m[2].lower()
-        if m[3]:
-            return self.known[body] + self.known[m[3]]
-        if body != piece:
-            return self.known[body]
-        mapped = body.encode().decode("latin-1").translate(self.table)
-        return np.asarray([x.id for x in self.model.tokenize(mapped)], "<u4").tobytes()
+        if not self.byte_level and (low := piece.lower()) != piece:
+            return self.known[low]
+        if piece.isascii():
+            mapped = self.table[32] + piece[1:] if piece[0] == " " else piece
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.table)
+        return array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
@@ -87,7 +88,7 @@ class WordEncoder:
         if _ODD.search(text) or any(s in text for s in self.special):
             return self._whole(text)
         get = self.known.__getitem__
-        return b"".join(map(get, _GPT.findall(text) if self.byte_level else text.split()))
+        return b"".join(map(get, (_SPACED if self.byte_level else _BARE).findall(text)))
 
 
 @lru_cache(maxsize=4)
