@@ -141,8 +141,19 @@ def _shared_tokens(classes: DataFrame) -> DataFrame:
     return written(rows.join(met, "token"), "shared-tokens")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Whole shingle sets of the wanted documents (and a few others whose id falls into the same cells): one pass over the texts."""
+def _wide(s: np.ndarray) -> np.ndarray:
+    """A bitmap of a set with four bits a token or more, its length a power of two, so that a longer one folds onto a shorter."""
+    longs = max(BITMAP, 1 << max(0, (len(s) - 1) // 16).bit_length())
+    m = np.zeros(64 * longs, np.uint8)
+    m[s % np.uint64(64 * longs)] = 1
+    return np.packbits(m).view(np.int64)
+
+
+def _again(docs: DataFrame, wanted: DataFrame, k: int, what, column: str) -> DataFrame:
+    """(a, n, ``column``) of the wanted documents, and a few others whose id falls into the same cells: one pass over the texts.
+
+    ``what`` makes the column's numbers from a shingle set.
+    """
     cells = sketch.cells_for(wanted.count())
 
     def ids(batches):
@@ -157,9 +168,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
                 sets = list(X.shingle_sets(part.column(1), k, X.SPACE_WORD))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), X.list_array(sets)], ["a", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), X.list_array([what(s) for s in sets])], ["a", "n", column])
 
-    return written(arrow_map(docs, run, "a long, n long, tokens array<long>"), "token-sets")
+    return written(arrow_map(docs, run, f"a long, n long, {column} array<long>"), f"token-{column}")
 
 
 def _missing(x: str, y: str):
@@ -175,16 +186,32 @@ def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
+def _folded_missing(x: str, y: str):
+    """As ``_missing`` for bitmaps of which one may be twice as long: the longer is folded first."""
+    w = F.least(F.size(x), F.size(y))
+    fold = lambda c: F.when(F.size(c) == w, F.col(c)).otherwise(F.zip_with(F.slice(F.col(c), F.lit(1), w), F.slice(F.col(c), w + 1, w), lambda p, q: p.bitwiseOR(q)))
+    return F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by exact intersection."""
+    """The pairs (a, b) whose sets reach the threshold: bitmaps as long as the sets need first, then exact intersection."""
     pairs = written(pairs, "class-pairs")
     if pairs.isEmpty():
         return pairs
-    sets = _sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), k)
-    one = sets.select(F.col("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return written(pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct(), "class-links")
+    both = lambda p: p.select("a").union(p.select("b")).distinct()
+    wide = _again(docs, both(pairs), k, _wide, "bitmaps")
+    one = wide.select("a", F.col("n").alias("na"), F.col("bitmaps").alias("ma"))
+    two = wide.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("bitmaps").alias("mb"))
+    most = F.least(F.col("na") - _folded_missing("ma", "mb"), F.col("nb") - _folded_missing("mb", "ma"))
+    near = pairs.join(one, "a").join(two, "b").where(_near_sizes("na", "nb", percent)).where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    pairs = written(near.select("a", "b").distinct(), "near-pairs")
+    if pairs.isEmpty():
+        return pairs
+    sets = _again(docs, both(pairs), k, lambda s: s, "sets")
+    one = sets.select("a", F.col("n").alias("na"), F.col("sets").alias("ta"))
+    two = sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sets").alias("tb"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return written(pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct(), "class-links")
 
 
 def _near_sizes(x: str, y: str, percent: int):
@@ -236,8 +263,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     doc_id count as one document; a row without doc_id links with nothing and
     has no component. Extra columns are ignored.
 
-    Texts are read in four passes (fewer if nothing is left to verify) and
-    never shuffled. ``stars`` classes per shared token are tried as centres and
+    Texts are read in two passes and four more at most to verify candidates;
+    they are never shuffled. ``stars`` classes per shared token are tried as centres and
     form the groups; the matrix then settles all pairs of classes in different
     groups. Pairs inside a group need no check: they are connected already.
     """
