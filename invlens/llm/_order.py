@@ -23,7 +23,10 @@ def with_blocks(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     ask = [i / n for i in range(1, n)]
     cuts = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", ask, 1 / (4 * n)) if ask else []
     cuts = sorted(set(cuts or []))
-    splits = [-float("inf"), *cuts, float("inf")]
-    as_double = f"{BLOCK}_key"
-    out = Bucketizer(splits=splits, inputCol=as_double, outputCol=BLOCK, handleInvalid="keep").transform(df.withColumn(as_double, F.col(key).cast("double")))
-    return out.withColumn(BLOCK, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col(BLOCK).cast("int"))).drop(as_double), len(splits) - 1
+    if cuts:
+        as_double = f"{BLOCK}_key"
+        split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=as_double, outputCol=BLOCK, handleInvalid="keep")
+        out = split.transform(df.withColumn(as_double, F.col(key).cast("double"))).drop(as_double)
+    else:
+        out = df.withColumn(BLOCK, F.lit(0))
+    return out.withColumn(BLOCK, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col(BLOCK).cast("int"))), len(cuts) + 1

@@ -47,6 +47,8 @@ def partial(items: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
             for r in range(rows):
                 found, count = np.unique(cell(every, r, cells), return_counts=True)
                 found = np.repeat(found, np.minimum(count, 2))
+                if not len(found):
+                    continue
                 block = found >> np.uint32(_BLOCK)
                 cut = np.flatnonzero(np.diff(block, prepend=np.uint32(0xFFFFFFFF)))
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(found)], strict=True):
