@@ -554,7 +554,7 @@ for _min in (1000, 100):
         run_id=RUN,
         min_files=_min,
     )
-ACE = "least(length(acl) - length(replace(acl, ';', '')), 40)"
+ACE = "least(len(string_split(acl, ';')) - 1, 40)"
 inv_report(
     "ace_count_distribution",
     W(f"SELECT CAST({ACE} AS VARCHAR) AS ace_count, count(*) AS files FROM scan_results WHERE {R} GROUP BY {ACE}"),

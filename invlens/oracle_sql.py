@@ -95,7 +95,7 @@ BUILTIN = f"('BUILTIN' || {BS} || 'Administrators')"
 IS_FILE = "(filename <> '')"
 IS_DIR = "(size = 0 AND filename = '' AND file_uri LIKE '%/')"
 TIB = dbl(1099511627776)
-DEPTH = "CAST(length(file_path) - length(replace(file_path, '/', '')) + 1 AS INTEGER)"
+DEPTH = "CAST(len(string_split(file_path, '/')) AS INTEGER)"
 LATEST = (
     "latest AS (SELECT run_id, file_uri, arg_max(allocated, (probed_at, allocated)) AS allocated, "
     "max(probed_at) AS probed_at FROM file_physical GROUP BY run_id, file_uri)"
