@@ -31,6 +31,8 @@ from invlens.llm.components import components
 SHINGLE, PERCENT = 5, 80
 #: Longs of a token bitmap.
 BITMAP = 32
+#: Members of one row of the matrix, about.
+MEMBERS = 64
 _BLOCK = 16
 
 
@@ -234,23 +236,30 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _matrix_pairs(rows: DataFrame, maps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Class pairs of different groups that share a prefix token, of those groups only that the bound leaves open.
-
-    The matrix row of a group is the union of its members' tokens, as a bitmap
-    that may say more, never less. A token of the query whose bit the group
-    lacks is in none of its members, so ``n - missing`` bounds the overlap;
-    with a smaller member (n_b <= n_a) the threshold asks for ``percent`` of
-    n_a at least.
+    """Class pairs of different groups, of those matrix rows only that share a prefix token with the class and that the bound leaves open.
+
+    A matrix row is the union of the tokens of up to about ``MEMBERS`` members
+    of one group, of like sizes, as a bitmap that may say more, never less. A
+    token of the query whose bit the row lacks is in none of its members, so
+    ``n - missing`` bounds the overlap; with a smaller member (n_b <= n_a) the
+    threshold asks for ``percent`` of n_a at least. An opened row gives each of
+    its members once, however many tokens it shares with the query.
     """
+    named = rows.select("a", "g").distinct()
+    own = maps.join(named, "a").withColumn("band", F.floor(F.log(F.col("n")) * 10))
+    crowd = own.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    own = written(own.join(crowd, ["g", "band"]).select("a", "n", "bits", "g", F.xxhash64("g", "band", part).alias("row")), "matrix-members")
     cells = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(BITMAP)]
-    own = maps.join(groups.withColumnRenamed("node", "a"), "a", "left").withColumn("g", F.coalesce("component", "a"))
-    matrix = own.groupBy("g").agg(*cells).select(F.col("g").alias("gb"), F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"))
-    ranges = rows.groupBy("token", F.col("g").alias("gb")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ask = rows.join(ranges, "token").where((F.col("g") != F.col("gb")) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))).select("a", "gb").distinct()
-    opened = ask.join(maps.select("a", "n", "bits"), "a").join(matrix, "gb").where(100 * (F.col("n") - _missing("bits", "union")) >= percent * F.col("n")).select("a", "gb").distinct()
-    query = rows.join(opened, "a").select("token", "a", "n", "gb")
-    member = rows.select("token", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    met = query.join(member, ["token", "gb"]).where((F.col("nb") <= F.col("n")) & _near_sizes("n", "nb", percent))
+    matrix = own.groupBy("row").agg(*cells).select("row", F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"))
+    placed = rows.select("token", "a", "n", "g").join(own.select("a", "row"), "a")
+    ranges = placed.groupBy("token", F.col("g").alias("gb"), "row").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    ask = rows.join(ranges, "token").where((F.col("g") != F.col("gb")) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))).select("a", "row").distinct()
+    opened = ask.join(maps.select("a", "n", "bits"), "a").join(matrix, "row").where(100 * (F.col("n") - _missing("bits", "union")) >= percent * F.col("n")).select("a", "n", "row", F.col("bits").alias("ma"))
+    member = own.select(F.col("a").alias("b"), F.col("n").alias("nb"), "row", F.col("bits").alias("mb"))
+    most = F.least(F.col("n") - _missing("ma", "mb"), F.col("nb") - _missing("mb", "ma"))
+    near = (F.col("nb") <= F.col("n")) & _near_sizes("n", "nb", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("nb")))
+    met = opened.join(member, "row").where((F.col("a") != F.col("b")) & near)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -288,7 +297,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     groups = written(components(links), "groups")
     rest = _grouped(shared, groups)
     if not rest.isEmpty():
-        more = _verified(_bounded(_matrix_pairs(rest, maps, groups, percent), maps, percent), texts, k, percent)
+        more = _verified(_matrix_pairs(rest, maps, groups, percent), texts, k, percent)
         if not more.isEmpty():
             groups = components(links.unionByName(more))
     of_class = reps.join(groups.withColumnRenamed("node", "a"), "a", "left").select("h1", "h2", "n", F.coalesce("component", "a").alias("component"))
