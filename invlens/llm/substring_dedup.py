@@ -8,6 +8,9 @@
 2. A second pass sends only windows whose key is estimated repeated. They are
    grouped exactly by key and content, the smallest doc_id of each content is
    found, and words that a window of a larger doc_id covers are removed.
+3. A key with many windows (a passage that stands in many documents with
+   different text around it) is not worked through by one task: its windows
+   are spread over the tasks by their content, with a map-side minimum.
 
 No repeated window is lost: its key is met at least twice, and the sketch
 never underestimates.
@@ -29,6 +32,8 @@ SIZE = 50
 OUTPUTS = ["n_words", "n_removed", "kept_text"]
 #: Windows of one row that is sent, at most; longer runs of one key (texts of one repeated word) are cut.
 _RUN = 64
+#: Windows of one key that one task works through, at most, as long as the keys above it number ``HOT_KEYS`` at most.
+HOT_WINDOWS, HOT_KEYS = 4096, 1 << 20
 
 
 def _runs(hashes: np.ndarray, first: np.ndarray, size: int):
@@ -99,7 +104,8 @@ def _owners(classes: DataFrame) -> DataFrame:
     """Per (key, content): stretches of windows and the smallest doc_id that has each.
 
     Classes arrive by key and then by their smallest doc_id, so the first class
-    with a window owns it. Memory: the distinct windows of one key.
+    with a window owns it. Memory: the distinct windows of one key, which is
+    not a hot one.
     """
 
     kind = pa.list_(pa.struct([("owner", pa.int64()), ("offset", pa.int32()), ("count", pa.int32())]))
@@ -124,6 +130,41 @@ def _owners(classes: DataFrame) -> DataFrame:
     return arrow_map(dealt, run, "key long, content long, stretches array<struct<owner: long, offset: int, count: int>>")
 
 
+def _hot_keys(found: DataFrame) -> DataFrame:
+    """Keys with too many distinct windows for one task. All windows together bound their number, so they can be broadcast."""
+    n = F.octet_length("windows") / 6
+    weighed = found.select("key", "content", n.alias("n")).distinct().groupBy("key").agg(F.sum("n").alias("n"))
+    total = found.agg(F.sum(n)).first()[0] or 0
+    return weighed.where(F.col("n") > max(HOT_WINDOWS, int(total) // HOT_KEYS)).select("key")
+
+
+def _hot_stretches(found: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_key, from, to) of the windows of hot keys, each of which goes to a task by its own content.
+
+    Equal runs are merged first. The least and greatest doc_id of a window are
+    found with a map-side aggregate, so each window has one owner and its join
+    to the runs makes no more rows than the runs have windows. Both sides of
+    that join are plain shuffles, of which a large partition can be split. The
+    windows of a run that have one owner are the bits of one number.
+    """
+    classes = written(found.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows")), "hot-classes")
+    i = F.explode(F.sequence(F.lit(0), (F.octet_length("windows") / 6).cast("int") - 1))
+    each = classes.select("key", "content", "low", "high", "windows", i.alias("i")).withColumn("window", F.expr("substring(windows, i * 6 + 1, 6)")).drop("windows")
+    owned = each.groupBy("key", "window").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").drop("last")
+    hit = each.join(written(owned, "owners"), ["key", "window"]).where("owner < high")
+    masks = hit.groupBy("key", "content", "owner").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("m"))
+    met = found.select("doc_id", "text_key", "key", "content", "start").join(masks, ["key", "content"]).where("owner < doc_id")
+    cut = met.select(
+        "doc_id",
+        "text_key",
+        "start",
+        F.expr("filter(sequence(0, 63), i -> getbit(m, i) = 1 AND (i = 0 OR getbit(m, greatest(i - 1, 0)) = 0))").alias("a"),
+        F.expr("filter(sequence(0, 63), i -> getbit(m, i) = 1 AND (i = 63 OR getbit(m, least(i + 1, 63)) = 0))").alias("z"),
+    )
+    s = cut.select("doc_id", "text_key", "start", F.explode(F.arrays_zip("a", "z")).alias("s"))
+    return s.select("doc_id", "text_key", (F.col("start") + F.col("s.a")).alias("from"), (F.col("start") + F.col("s.z") + size).alias("to"))
+
+
 def repeated_stretches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, text_key, stretches): word ranges [from, to) covered by windows that also start in a document of smaller doc_id.
 
@@ -132,11 +173,15 @@ def repeated_stretches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bits = docs.sparkSession.sparkContext.broadcast(_estimated(base, size))
     found = written(_candidates(base, bits, size), "windows")
-    classes = found.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows"))
-    met = found.select("doc_id", "text_key", "key", "content", "start").join(_owners(classes), ["key", "content"])
+    hot = written(_hot_keys(found), "hot-keys")
+    few = found.join(F.broadcast(hot), "key", "left_anti")
+    classes = few.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows"))
+    met = few.select("doc_id", "text_key", "key", "content", "start").join(_owners(classes), ["key", "content"])
     each = met.select("doc_id", "text_key", "start", F.explode("stretches").alias("s")).where(F.col("s.owner") < F.col("doc_id"))
     a = F.col("start") + F.col("s.offset")
-    return each.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(a.alias("from"), (a + F.col("s.count") + (size - 1)).alias("to"))).alias("stretches"))
+    cold = each.select("doc_id", "text_key", a.alias("from"), (a + F.col("s.count") + (size - 1)).alias("to"))
+    every = cold.unionByName(_hot_stretches(found.join(F.broadcast(hot), "key", "left_semi"), size))
+    return every.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("from", "to")).alias("stretches"))
 
 
 def remove_repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:

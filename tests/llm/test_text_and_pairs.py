@@ -117,6 +117,31 @@ def test_substring_dedup_equals_plain(docs, hard, no_docs, size):
         assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == plain_dedup(df.select("doc_id", "text").collect(), size)
 
 
+def test_substring_dedup_spreads_a_key_of_many_windows(spark, monkeypatch):
+    """A passage of 80 words with other text around it in every document: no task gets all windows of its key."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(d, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(60)), *passage, *(f"z{rng.randrange(10**6)}" for _ in range(60))])) for d in range(500)]
+    rows += [(d + 1000, t) for d, t in rows[:40]] + [(3, rows[3][1]), (None, rows[3][1])]
+    most, plain = [], substring_dedup._owners
+
+    def owners(classes):
+        most.append(classes.groupBy("key").agg(F.sum(F.octet_length("windows") / 6).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return plain(classes)
+
+    monkeypatch.setattr(substring_dedup, "_owners", owners)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring_dedup.remove_repeated_windows(df)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == plain_dedup(df.collect(), 50)
+    assert most[0] <= 4096
+
+
+@pytest.mark.parametrize("size", [50, 7])
+def test_substring_dedup_with_every_key_hot(docs, hard, size, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 1)
+    test_substring_dedup_equals_plain(docs, hard, hard.limit(0), size)
+
+
 def test_substring_dedup_keeps_other_columns(hard):
     out = substring_dedup.remove_repeated_windows(hard)
     assert out.columns == ["doc_id", "text", "score", "component_id", "key", "rank", "n_words", "n_removed", "kept_text"]
