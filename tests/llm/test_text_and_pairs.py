@@ -59,6 +59,19 @@ def test_winnow_guarantee():
         assert set(winnowing.winnow(a, k, w)[0].tolist()) & set(winnowing.winnow(b, k, w)[0].tolist())
 
 
+def test_near_edited_of_short_texts(spark, docs):
+    """Texts of 20 to 150 code points are not all or nothing: two thirds of the text stay, so its likeness is neither 0 nor that of another text."""
+    source = sorted(r["text"] for r in docs.where("length(text) >= 150").select("text").limit(40).collect())
+    texts = [t[:n] for n in range(20, 151, 2) for t in source[n % 7::7]]
+    rows = winnowing.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    near = {n: [r["near_edited"] for r in rows if r["n_chars"] == n] for n in {r["n_chars"] for r in rows}}
+    # 22 code points keep 15 = k + w - 1, which always match; 20 keep 14 and nearly always do
+    assert all(x > 0 for n, xs in near.items() if n >= 22 for x in xs)
+    assert np.mean([x > 0 for n, xs in near.items() if n < 22 for x in xs]) > 0.5
+    assert all(len(r["positions"]) > 1 for r in rows if r["n_chars"] >= 60)
+
+
 def test_compare_with_next(spark, docs, hard, no_docs):
     for df in (docs, hard, no_docs, hard.where("doc_id = 0")):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, -(r[0] or 0), [-ord(c) for c in r[1]] + [1]))
