@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invlens.llm import chat, decontamination, jaccard_join, licenses, packing, substring_dedup, token_files, toxicity, warc, winnowing
+from invlens.llm import chat, decontamination, jaccard_join, licenses, packing, spelling, substring_dedup, token_files, toxicity, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counted word with its near words, form and root."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of ``corpus_pipeline``, over documents."""
     import corpus_pipeline
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_winnowing, op2_license_scan, op3_toxicity, op4_substring_dedup, op5_token_files, op6_chat_snapshots, op7_packing, op8_jaccard_join, op9_warc, op10_decontamination, pipeline)
+    own = (op1_winnowing, op2_license_scan, op3_toxicity, op4_substring_dedup, op5_token_files, op6_chat_snapshots, op7_packing, op8_jaccard_join, op9_warc, op10_decontamination, op13_spelling, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -140,6 +145,22 @@ UNION ALL
 SELECT w.id, short.id, 1, 1, 1.0 FROM w JOIN short ON w.kind = 0 AND contains(' ' || array_to_string(w.w, ' ') || ' ', ' ' || short.s || ' ')"""
 
 
+_OP13 = rf"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+run AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'), lambda x: translate(x, '{_UPPER}', '{_LOWER}'))) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+byte AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END)) AS b FROM run),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM byte, tab),
+word AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM word WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+    UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.d UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.d),
+best AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY v.n DESC, near) AS near, max(v.n) AS m FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN near END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.at AND e.form IS NULL"""
+
+
 def oracle() -> dict[str, str]:
     """SQL for the queries whose whole result SQL can express; the others have brute-force tests."""
-    return {"op2_license_scan": licenses.scan_sql(), "op4_substring_dedup": _OP4, "op6_chat_snapshots": _OP6, "op8_jaccard_join": _OP8, "op9_warc": _OP9, "op10_decontamination": _OP10}
+    return {"op2_license_scan": licenses.scan_sql(), "op4_substring_dedup": _OP4, "op6_chat_snapshots": _OP6, "op8_jaccard_join": _OP8, "op9_warc": _OP9, "op10_decontamination": _OP10, "op13_spelling": _OP13}
