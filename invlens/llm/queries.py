@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invlens.llm import chat, decontamination, jaccard_join, licenses, packing, spelling, substring_dedup, token_files, toxicity, warc, winnowing
+from invlens.llm import chat, decontamination, hard_negatives, jaccard_join, licenses, nearest, packing, spelling, substring_dedup, token_files, toxicity, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    return nearest.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every positive of every 100th vector."""
+    return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every counted word with its near words, form and root."""
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
@@ -87,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_winnowing, op2_license_scan, op3_toxicity, op4_substring_dedup, op5_token_files, op6_chat_snapshots, op7_packing, op8_jaccard_join, op9_warc, op10_decontamination, op13_spelling, pipeline)
+    own = (op1_winnowing, op2_license_scan, op3_toxicity, op4_substring_dedup, op5_token_files, op6_chat_snapshots, op7_packing, op8_jaccard_join, op9_warc, op10_decontamination, op11_nearest, op12_hard_negatives, op13_spelling, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -145,6 +155,14 @@ UNION ALL
 SELECT w.id, short.id, 1, 1, 1.0 FROM w JOIN short ON w.kind = 0 AND contains(' ' || array_to_string(w.w, ' ') || ' ', ' ' || short.s || ' ')"""
 
 
+_OP12 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, CAST(row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 80 * ps <= 100 * s AND 100 * s <= 100 * ps QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) <= 5"""
+
 _OP13 = rf"""
 WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
 run AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'), lambda x: translate(x, '{_UPPER}', '{_LOWER}'))) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
@@ -163,4 +181,4 @@ SELECT f.word, f.form, r.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.
 
 def oracle() -> dict[str, str]:
     """SQL for the queries whose whole result SQL can express; the others have brute-force tests."""
-    return {"op2_license_scan": licenses.scan_sql(), "op4_substring_dedup": _OP4, "op6_chat_snapshots": _OP6, "op8_jaccard_join": _OP8, "op9_warc": _OP9, "op10_decontamination": _OP10, "op13_spelling": _OP13}
+    return {"op2_license_scan": licenses.scan_sql(), "op4_substring_dedup": _OP4, "op6_chat_snapshots": _OP6, "op8_jaccard_join": _OP8, "op9_warc": _OP9, "op10_decontamination": _OP10, "op12_hard_negatives": _OP12, "op13_spelling": _OP13}
