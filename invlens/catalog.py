@@ -1330,6 +1330,9 @@ inv_report(
 )
 
 
+from invlens import catalog_runs  # noqa: E402, F401  (registers its entries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {e.name: e.build for e in ENTRIES}
 

@@ -17,8 +17,9 @@ from invlens.functions.scalars import half_even_round
 # Sub-buckets per power of two used to split the value histogram for exact
 # quantiles: 64 octaves x 4096 = at most 262,144 buckets per sign.
 QUANTILE_BUCKETS_PER_OCTAVE = 4096
-QUANTILE_CUTS = 4096
-QUANTILE_LEVELS = 2
+# Parts into which the span of a target's bucket is cut, and how often.
+QUANTILE_CUTS = 65536
+QUANTILE_LEVELS = 1
 
 
 def latest_physical(phys: DataFrame, keys: Sequence[str] = ("run_id", "file_uri")) -> DataFrame:
@@ -36,12 +37,25 @@ def latest_physical(phys: DataFrame, keys: Sequence[str] = ("run_id", "file_uri"
 
 
 def total_of(df: DataFrame, column: str) -> Column:
-    """Uncorrelated scalar subquery ``(SELECT sum(column) FROM df)``.
+    """Uncorrelated scalar subquery: the sum of ``column`` over ``df``, an aggregated result.
 
-    Evaluated once and inlined as a constant; the aggregate under ``df`` is
-    shared with the outer query through exchange reuse.
+    The subquery asks for every column of ``df``, so that pruning leaves the
+    aggregate below it as it is in the outer query and AQE reads the same
+    shuffle for both: the data are scanned once. For that a filter on group
+    keys above must stay above the aggregate too, see :func:`after_groups`.
     """
-    return df.agg(F.sum(column)).scalar()
+    parts = [(F.sum(c) if c == column else F.max(c)).alias(c) for c in df.columns]
+    return df.agg(F.struct(*parts).alias("totals")).scalar().getField(column)
+
+
+def after_groups(cond: Column, count: str) -> Column:
+    """``cond`` on the group keys of an aggregated result, evaluated after the aggregation.
+
+    It also names the group's row count (never negative), so the optimizer
+    cannot push it below the aggregate, where the groups that it drops would be
+    missing from the total.
+    """
+    return cond | (F.col(count) < 0)
 
 
 def with_share(
@@ -54,11 +68,10 @@ def with_share(
 ) -> DataFrame:
     """Add ``100 * column / total``; total defaults to the column's sum over ``df``.
 
-    ``df`` is an aggregated result. The total is a scalar subquery, a second
-    distributed aggregation, so no task holds every group. With ``bounded``
-    (only for a group key whose values are fixed in code: bands, owner
-    classes) the total is a window over those few group rows, which costs
-    nothing extra.
+    ``df`` is an aggregated result. The total is a scalar subquery over the
+    same shuffle, so no task holds every group and nothing is scanned twice.
+    With ``bounded`` (only for a group key whose values are fixed in code:
+    bands, owner classes) the total is a window over those few group rows.
     """
     if total is not None:
         denom = total
@@ -70,6 +83,26 @@ def with_share(
     return df.withColumn(name, raw if digits is None else half_even_round(raw, digits))
 
 
+def two_level_running_totals(df: DataFrame, keys: Sequence[str], block: str, order_by: str, sums: dict[str, str]) -> DataFrame:
+    """Cumulative sums per ``keys`` in ``order_by`` order over a series of any length.
+
+    ``block`` cuts a key's series into consecutive parts (a month of days, a range of
+    values). A part is summed up in its own task; the totals of the parts before it,
+    one row per part, are added. So no task holds more rows than one part, or
+    one row for each part of a key. ``sums`` maps each new column to the summed one.
+    """
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, block).orderBy(order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(*keys, block).agg(*[F.sum(c).alias(f"_{new}") for new, c in sums.items()])
+    before = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, block])], *[F.coalesce(F.sum(f"_{new}").over(earlier), F.lit(0)).alias(f"_{new}") for new in sums])
+    same = F.lit(True)
+    for i, k in enumerate([*keys, block]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = df.select("*", *[F.sum(c).over(inside).alias(f"_in_{new}") for new, c in sums.items()]).join(before, same)
+    return out.select(*df.columns, *[(F.col(f"_in_{new}") + F.col(f"_{new}")).alias(new) for new in sums])
+
+
 def running_total(df: DataFrame, order_by: str, column: str, name: str | None = None) -> DataFrame:
     """Cumulative sum of ``column`` in ``order_by`` order.
 
@@ -114,10 +147,27 @@ def _narrowed(hist: DataFrame, cand: DataFrame) -> DataFrame:
     return parts.where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("upto"))).select(*fixed, "from", "to")
 
 
+def value_histogram(df: DataFrame, value: Column | str, keys: Sequence[str] = ()) -> DataFrame:
+    """``(*keys, v, c)``: how often each non-NULL value occurs. Histograms add up: see :func:`merged_histogram`."""
+    v = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull())
+    return rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def merged_histogram(hist: DataFrame) -> DataFrame:
+    """The histogram of all the rows behind several histograms (of runs, of loads)."""
+    return hist.groupBy("v").agg(F.sum("c").alias("c"))
+
+
 def exact_quantiles(
-    df: DataFrame, value: Column | str, quantiles: dict[str, float], summary: bool = False
+    df: DataFrame, value: Column | str, quantiles: dict[str, float], summary: bool = False, levels: int = QUANTILE_LEVELS
 ) -> DataFrame:
-    """Exact quantiles as one row, one column per entry of ``quantiles``.
+    """Exact quantiles of a column as one row; :func:`quantiles_of_histogram` says how."""
+    return quantiles_of_histogram(value_histogram(df, value), quantiles, summary, levels)
+
+
+def quantiles_of_histogram(hist: DataFrame, quantiles: dict[str, float], summary: bool = False, levels: int = QUANTILE_LEVELS) -> DataFrame:
+    """Exact quantiles of a histogram ``(v, c)`` as one row, one column per entry of ``quantiles``.
 
     Each result is the element at 0-based position ``floor(q * n)`` of the
     sorted non-NULL values (``n - 1`` for ``q >= 1``), never an interpolation.
@@ -130,16 +180,15 @@ def exact_quantiles(
        third of all rows is one row after the map side);
     2. per log-scale bucket totals (bounded: at most 2 x 64 x 4096 rows) and
        their running count, which locate the bucket holding each target rank;
-    3. twice, that bucket's span of values is cut into ``QUANTILE_CUTS`` equal
-       parts, whose totals (at most that many rows per target) locate the part
-       holding the rank; one bucket may hold very many distinct values;
+    3. ``levels`` times, that bucket's span of values is cut into ``QUANTILE_CUTS``
+       equal parts, whose totals (at most that many rows per target) locate the
+       part holding the rank; one bucket may hold very many distinct values. For
+       values known to be few (path depths) 0 saves the round;
     4. a running count over the histogram rows of those few parts only.
 
     All uses of the histogram read the same shuffle: the bucket join is
     null-safe so no extra filter is inferred into one branch.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    hist = df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     hist = hist.withColumn("b", _monotone_bucket(F.col("v")))
 
     buckets = hist.groupBy("b").agg(
@@ -171,7 +220,7 @@ def exact_quantiles(
         .withColumnRenamed("b", "cb")
     )
     # ``cand`` has at most one row per requested quantile.
-    for _ in range(QUANTILE_LEVELS):
+    for _ in range(levels):
         cand = _narrowed(hist, cand)
     picked = _of_candidates(hist, cand)
     in_bucket = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -72,3 +72,54 @@ def reconcile(actual: DataFrame, expected: DataFrame, tolerance: float = 0.05) -
         .withColumn("rel_diff", rel)
         .withColumn("within", F.coalesce(rel <= F.lit(tolerance), (abs_diff == 0), F.lit(False)))
     )
+
+
+def file_changes(inv: DataFrame, run_before: str, run_after: str) -> DataFrame:
+    """One row per file of either run: ``(file_uri, dept, change, resized, reowned, bytes_before, bytes_after)``.
+
+    ``change`` is ``added``, ``removed`` or ``kept``; ``resized`` and
+    ``reowned`` compare size and owner null-safely (NULL equals NULL) for kept
+    files and are false otherwise. Both runs are read in one scan and merged by
+    one aggregation on ``file_uri``, which is a full outer merge with NULL
+    keys paired; on a table bucketed by ``file_uri`` it needs no shuffle. The
+    department is that of the later run, of the earlier one for removed files. Several
+    rows of one URI in a run count as one file with their sizes added up.
+    """
+    from invlens.functions.scalars import dept
+
+    after = F.col("run_id") == run_after
+    rows = inv.where(F.col("run_id").isin(run_before, run_after)).select("file_uri", "size", "owner_name", dept().alias("dept"), after.alias("after"))
+
+    def side(x: str, is_after: bool):
+        mine = F.col("after") if is_after else ~F.col("after")
+        return [
+            F.count_if(mine).alias(f"_n_{x}"),
+            F.sum(F.when(mine, F.col("size"))).alias(f"bytes_{x}"),
+            F.min(F.when(mine, F.col("owner_name"))).alias(f"_owner_{x}"),
+            F.min(F.when(mine, F.col("dept"))).alias(f"_dept_{x}"),
+        ]
+
+    g = rows.groupBy("file_uri").agg(*side("before", False), *side("after", True))
+    kept = (F.col("_n_before") > 0) & (F.col("_n_after") > 0)
+    return g.select(
+        "file_uri",
+        F.when(F.col("_n_after") > 0, F.col("_dept_after")).otherwise(F.col("_dept_before")).alias("dept"),
+        F.when(kept, "kept").when(F.col("_n_after") > 0, "added").otherwise("removed").alias("change"),
+        (kept & ~F.col("bytes_before").eqNullSafe(F.col("bytes_after"))).alias("resized"),
+        (kept & ~F.col("_owner_before").eqNullSafe(F.col("_owner_after"))).alias("reowned"),
+        "bytes_before",
+        "bytes_after",
+    )
+
+
+def changes_by_dept(inv: DataFrame, run_before: str, run_after: str) -> DataFrame:
+    """Per department: files added, removed, resized, re-owned and unchanged, and the growth in bytes."""
+    same = (F.col("change") == "kept") & ~F.col("resized") & ~F.col("reowned")
+    zero = F.lit(0).cast("long")
+    growth = F.coalesce("bytes_after", zero) - F.coalesce("bytes_before", zero)
+    return file_changes(inv, run_before, run_after).groupBy("dept").agg(
+        *[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed")],
+        *[F.count_if(F.col(c)).alias(c) for c in ("resized", "reowned")],
+        F.count_if(same).alias("unchanged"),
+        F.sum(growth).alias("bytes_delta"),
+    )

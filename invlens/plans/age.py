@@ -18,10 +18,11 @@ from invlens.functions.classifiers import (
 from invlens.functions.predicates import stale
 from invlens.functions.scalars import dept, human_size, pct
 from invlens.functions.timeutil import as_of_literal, minus
-from invlens.operators.aggregates import age_matrix, running_total, top_k, with_share
-from invlens.plans.common import count_if, desc_then, for_run, n_rows, sum_or_zero
+from invlens.operators.aggregates import age_matrix, running_total, top_k, two_level_running_totals, with_share
+from invlens.plans.common import count_if, desc_then, for_run, inventory_report, n_rows, sum_or_zero
 
 
+@inventory_report
 def dormancy_by_dept(
     inv: DataFrame,
     run_id: str | None = None,
@@ -61,6 +62,7 @@ def dormancy_by_dept(
     return top_k(g, desc_then(order_by), limit, ["dept"])
 
 
+@inventory_report
 def age_bands(inv: DataFrame, run_id: str | None = None, as_of=None, by: str = "last_accessed") -> DataFrame:
     """Files and bytes per access-age band with shares of the run."""
     edges, rest = (ACCESS_AGE_BANDS, ACCESS_AGE_REST)
@@ -71,12 +73,14 @@ def age_bands(inv: DataFrame, run_id: str | None = None, as_of=None, by: str = "
     return with_share(g, "bytes", "pct_bytes", bounded=True).orderBy("band")
 
 
+@inventory_report
 def capacity_by_age(inv: DataFrame, run_id: str | None = None, as_of=None, by: str = "modified") -> DataFrame:
     """Bytes per modification-age band."""
     rows = for_run(inv, run_id).withColumn("age", age_band(by, MODIFIED_AGE_BANDS, MODIFIED_AGE_REST, as_of))
     return rows.groupBy("age").agg(sum_or_zero("size").alias("bytes")).orderBy("age")
 
 
+@inventory_report
 def extension_age_matrix(inv: DataFrame, run_id: str | None = None, as_of=None, limit: int = 25) -> DataFrame:
     """Bytes per extension in four modification-age bands, top by total."""
     g = age_matrix(for_run(inv, run_id), "extension", "modified", as_of)
@@ -84,6 +88,7 @@ def extension_age_matrix(inv: DataFrame, run_id: str | None = None, as_of=None,
     return top_k(g, [total.desc()], limit, ["extension"])
 
 
+@inventory_report
 def dept_age_heat(inv: DataFrame, run_id: str | None = None, as_of=None, by: str = "last_accessed") -> DataFrame:
     """Department x access-age band: files and share of the department's files.
 
@@ -104,6 +109,7 @@ def dept_age_heat(inv: DataFrame, run_id: str | None = None, as_of=None, by: str
 TIME_COLUMNS = ("created", "modified", "last_accessed")
 
 
+@inventory_report
 def daily_review(inv: DataFrame, run_id: str | None = None, as_of=None, days: int = 30) -> DataFrame:
     """Files and bytes per day and timestamp kind over the last ``days`` days.
 
@@ -118,6 +124,7 @@ def daily_review(inv: DataFrame, run_id: str | None = None, as_of=None, days: in
     return long.groupBy("kind", F.to_date("ts").alias("day")).agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
 
 
+@inventory_report
 def cumulative_trend(
     inv: DataFrame, run_id: str | None = None, as_of=None, years: int = 10, by: str = "created"
 ) -> DataFrame:
@@ -134,3 +141,17 @@ def cumulative_trend(
     g = running_total(g, "month", "files", "cum_files")
     return running_total(g, "month", "bytes", "cum_bytes")
 
+
+@inventory_report
+def cumulative_trend_daily(inv: DataFrame, run_id: str | None = None, as_of=None, years: int = 30, by: str = "created") -> DataFrame:
+    """Daily files and bytes per department over ``[as_of - years, as_of)`` with running totals (R66 at a fine grain).
+
+    The running totals are two-level: within a month of a department, plus the
+    totals of the months before, so no task holds a whole long series.
+    """
+    lo, hi = minus(as_of, years, "YEAR"), as_of_literal(as_of)
+    rows = for_run(inv, run_id).where((F.col(by) >= lo) & (F.col(by) < hi))
+    g = rows.groupBy(dept().alias("dept"), F.to_date(by).alias("day")).agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
+    g = g.withColumn("month", F.trunc("day", "month"))
+    out = two_level_running_totals(g, ["dept"], "month", "day", {"cum_files": "files", "cum_bytes": "bytes"})
+    return out.select("dept", "day", "files", "bytes", "cum_files", "cum_bytes")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from invlens.functions.predicates import stale
 from invlens.functions.scalars import dept, human_size, path_part, top_folder_legacy
-from invlens.operators.aggregates import top_k, with_share
-from invlens.plans.common import desc_then, for_run, n_rows, sum_or_zero
+from invlens.operators.aggregates import after_groups, top_k, with_share
+from invlens.plans.common import desc_then, for_run, inventory_report, n_rows, sum_or_zero
 
 
+@inventory_report
 def dept_breakdown(inv: DataFrame, run_id: str | None = None, pct: bool = False) -> DataFrame:
     """Files and bytes per department (R2).
 
@@ -22,12 +23,13 @@ def dept_breakdown(inv: DataFrame, run_id: str | None = None, pct: bool = False)
     if not pct:
         rows = rows.where(F.col("dept") != "")
     g = rows.groupBy("dept").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
-    g = g.withColumn("bytes_human", human_size("bytes"))
     if pct:
-        g = with_share(g, "bytes", "pct_bytes").where(F.col("dept") != "")
+        g = with_share(g, "bytes", "pct_bytes").where(after_groups(F.col("dept") != "", "files"))
+    g = g.select("dept", "files", "bytes", human_size("bytes").alias("bytes_human"), *(["pct_bytes"] if pct else []))
     return g.orderBy(*desc_then("bytes"), "dept")
 
 
+@inventory_report
 def dept_capacity_top(inv: DataFrame, run_id: str | None = None, limit: int = 16) -> DataFrame:
     """Top departments by bytes."""
     rows = for_run(inv, run_id).withColumn("dept", dept()).where(F.col("dept") != "")
@@ -35,6 +37,7 @@ def dept_capacity_top(inv: DataFrame, run_id: str | None = None, limit: int = 16
     return top_k(g, desc_then("bytes"), limit, ["dept"])
 
 
+@inventory_report
 def year_histogram(
     inv: DataFrame, run_id: str | None = None, lo: int = 2015, hi: int = 2027, pct: bool = False, counts_only: bool = False
 ) -> DataFrame:
@@ -51,10 +54,11 @@ def year_histogram(
     else:
         g = rows.groupBy("year").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
     if pct:
-        g = with_share(g, "files", "pct_files").where(F.col("year").between(lo, hi))
+        g = with_share(g, "files", "pct_files").where(after_groups(F.col("year").between(lo, hi), "files"))
     return g.orderBy("year")
 
 
+@inventory_report
 def year_cohort_by_dept(inv: DataFrame, run_id: str | None = None, year: int = 2019, limit: int = 10) -> DataFrame:
     """Departments holding the most files created in ``year``."""
     rows = for_run(inv, run_id).where(F.year("created") == year).withColumn("dept", dept()).where(F.col("dept") != "")
@@ -67,6 +71,7 @@ def _top_folder(legacy: bool):
     return top_folder_legacy() if legacy else path_part(4)
 
 
+@inventory_report
 def top_folders(inv: DataFrame, run_id: str | None = None, limit: int = 20, legacy: bool = False) -> DataFrame:
     """Top-level folders by bytes (R48); ``legacy`` uses the older regex."""
     rows = for_run(inv, run_id).withColumn("top_folder", _top_folder(legacy)).where(F.col("top_folder") != "")
@@ -74,6 +79,7 @@ def top_folders(inv: DataFrame, run_id: str | None = None, limit: int = 20, lega
     return top_k(g, desc_then("bytes"), limit, ["top_folder"])
 
 
+@inventory_report
 def cold_folders(
     inv: DataFrame,
     run_id: str | None = None,

@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from invlens.functions.predicates import is_file
+
+
+def inventory_report(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Gives a report over the inventory (its first argument) the keyword ``files_only``.
+
+    Directory rows count as files by default; with ``files_only=True`` they are left
+    out before anything is counted. The condition is on columns of the scan,
+    so it is pushed into the Parquet reader with the run filter.
+    """
+
+    @wraps(fn)
+    def report(inv: DataFrame, *args, files_only: bool = False, **kw) -> DataFrame:
+        return fn(inv.where(is_file()) if files_only else inv, *args, **kw)
+
+    return report
+
 
 def for_run(inv: DataFrame, run_id: str | None) -> DataFrame:
     """Rows of one run (a partition filter on ``run_id``), or all rows."""

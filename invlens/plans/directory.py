@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from invlens.functions.predicates import is_directory, is_file
 from invlens.functions.scalars import path_depth, pct, source_of
-from invlens.plans.common import count_if, for_run, n_rows, sum_if, sum_or_zero
+from invlens.plans.common import count_if, for_run, inventory_report, n_rows, sum_if, sum_or_zero
 
 
+@inventory_report
 def directory_usage(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Bytes, files and directory rows under every folder, all ancestors included.
 
@@ -33,17 +34,20 @@ def directory_usage(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     )
 
 
+@inventory_report
 def source_slice(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Files and bytes per ``win://host/share`` source."""
     rows = for_run(inv, run_id).withColumn("source", source_of())
     return rows.groupBy("source").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
 
 
+@inventory_report
 def ads_breakdown(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Files and bytes per alternate-data-stream name list."""
     return for_run(inv, run_id).groupBy("win_ads_names").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
 
 
+@inventory_report
 def migrated_share(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Migrated files and bytes with their shares."""
     m = F.col("migrated")
@@ -64,6 +68,7 @@ def migrated_share(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     )
 
 
+@inventory_report
 def storage_tiers(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Files and bytes per storage class and state."""
     return (

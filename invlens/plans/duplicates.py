@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from invlens.functions.scalars import human_size
 from invlens.operators.aggregates import top_k
-from invlens.plans.common import desc_then, for_run, n_rows, sum_or_zero
+from invlens.plans.common import desc_then, for_run, inventory_report, n_rows, sum_or_zero
 
 DUPLICATE_FLOOR = 1048576
 
@@ -23,6 +23,7 @@ def _clusters(rows: DataFrame, keys: list[str], min_copies: int) -> DataFrame:
     return g.withColumn("wasted_bytes", (F.col("copies") - 1) * F.col("size"))
 
 
+@inventory_report
 def duplicate_clusters(
     inv: DataFrame, run_id: str | None = None, min_size: int = DUPLICATE_FLOOR, limit: int | None = 50
 ) -> DataFrame:
@@ -32,6 +33,7 @@ def duplicate_clusters(
     return g if limit is None else top_k(g, desc_then("wasted_bytes"), limit, ["filename", "size"])
 
 
+@inventory_report
 def duplicate_floor(inv: DataFrame, run_id: str | None = None, min_size: int = DUPLICATE_FLOOR) -> DataFrame:
     """Summary of all duplicate clusters (R23): two-level aggregate."""
     g = duplicate_clusters(inv, run_id, min_size, limit=None)
@@ -49,6 +51,7 @@ def duplicate_floor(inv: DataFrame, run_id: str | None = None, min_size: int = D
     )
 
 
+@inventory_report
 def content_duplicates(
     inv: DataFrame, run_id: str | None = None, hash_col: str = "hash", min_size: int = 0, limit: int | None = None
 ) -> DataFrame:

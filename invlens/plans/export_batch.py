@@ -1,6 +1,8 @@
 """The standard export batch: the reference's report CSVs for one run.
 
-Every report reads the run's partition directly, so each scan is pruned to
+By default the run is scanned three times: once for its summary table,
+from which eighteen reports roll up (see ``plans/summary.py``), once for the size
+histogram and once for the duplicates. With ``method="direct"`` every report reads the run's partition directly, so each scan is pruned to
 the two or three columns that report needs, and up to ``parallelism``
 report jobs run at once. Optionally (``persist=True``, for slow remote
 storage) one column-pruned frame of the run is persisted first and shared;
@@ -15,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invlens.plans import acl, age, capacity, duplicates, overview, ownership, size
+from invlens.plans import acl, age, capacity, duplicates, overview, ownership, size, summary
 from invlens.plans.common import for_run
 from invlens.sources.export import export_reports
 
@@ -61,6 +63,16 @@ def standard_reports(inv: DataFrame, as_of) -> dict[str, DataFrame]:
     }
 
 
+def standard_reports_from_summary(run_summary: DataFrame, inv: DataFrame, run_id: str | None) -> dict[str, DataFrame]:
+    """The same twenty reports: all but two from the run's summary table, those two from the inventory."""
+    reports = summary.summary_reports(run_summary) | {
+        "median-file-size": size.size_quantiles(inv, run_id),
+        "duplicate-floor": duplicates.duplicate_floor(inv, run_id),
+    }
+    order = list(standard_reports(inv, "1970-01-01 00:00:00"))
+    return {name: reports[name] for name in order}
+
+
 def export_standard(
     spark: SparkSession,
     inv: DataFrame,
@@ -69,13 +81,23 @@ def export_standard(
     out_dir: str,
     persist: bool = False,
     parallelism: int = 4,
+    method: str = "summary",
+    summary_path: str | None = None,
 ) -> DataFrame:
     """Write the standard reports of ``run_id`` as CSV under ``out_dir``; returns the status frame.
 
-    With ``persist`` the pruned run frame is filled once (one scan) before
-    the report jobs start, so concurrent jobs read the persisted blocks
-    instead of each scanning the table.
+    ``method="summary"`` adds the run to the summary table at ``summary_path``
+    (``<out_dir>/_summary`` if not given) and rolls the reports up from there. With
+    ``method="direct"`` every report reads the inventory; ``persist`` then
+    fills the pruned run frame once before the report jobs start, so
+    concurrent jobs read the persisted blocks instead of each scanning the table.
     """
+    if method not in ("summary", "direct"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "summary":
+        table = summary.add_run_summary(inv, run_id, as_of, summary_path or f"{out_dir.rstrip('/')}/_summary")
+        reports = standard_reports_from_summary(table, inv, run_id)
+        return export_reports(spark, reports, out_dir, parallelism=parallelism).withColumn("run_id", F.lit(run_id))
     run = for_run(inv, run_id).select(*EXPORT_COLUMNS)
     if persist:
         run = run.persist(StorageLevel.MEMORY_AND_DISK)

@@ -23,9 +23,10 @@ from invlens.functions.predicates import (
     stale,
 )
 from invlens.functions.scalars import epoch_millis, human_size, pct
-from invlens.plans.common import count_if, for_run, n_rows, sum_if, sum_or_zero
+from invlens.plans.common import count_if, for_run, inventory_report, n_rows, sum_if, sum_or_zero
 
 
+@inventory_report
 def overview(inv: DataFrame, run_id: str | None = None, as_of=None) -> DataFrame:
     """Files, bytes, owners and four percentages in one row."""
     return (
@@ -52,19 +53,23 @@ def overview(inv: DataFrame, run_id: str | None = None, as_of=None) -> DataFrame
     )
 
 
+@inventory_report
 def total_files(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     return for_run(inv, run_id).agg(n_rows().alias("files"))
 
 
+@inventory_report
 def total_bytes(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     return for_run(inv, run_id).agg(sum_or_zero("size").alias("bytes"))
 
 
+@inventory_report
 def unique_owners(inv: DataFrame, run_id: str | None = None, approximate: bool = False) -> DataFrame:
     c = F.approx_count_distinct("owner_sid") if approximate else F.count_distinct("owner_sid")
     return for_run(inv, run_id).agg(c.alias("owners"))
 
 
+@inventory_report
 def oldest_modified(inv: DataFrame, run_id: str | None = None, epoch: bool = True) -> DataFrame:
     """Oldest ``modified``: epoch milliseconds (current tile) or the timestamp (older tile)."""
     m = F.min("modified")
@@ -75,6 +80,7 @@ def _pct_tile(inv: DataFrame, run_id: str | None, cond) -> DataFrame:
     return for_run(inv, run_id).agg(pct(count_if(cond), n_rows(), None).alias("pct"))
 
 
+@inventory_report
 def pct_orphan_files(
     inv: DataFrame, run_id: str | None = None, mode: str = "current", with_status: bool = False
 ) -> DataFrame:
@@ -87,38 +93,47 @@ def pct_orphan_files(
     return out
 
 
+@inventory_report
 def pct_flag_files(inv: DataFrame, run_id: str | None = None, letter: str = "W") -> DataFrame:
     return _pct_tile(inv, run_id, has_flag(letter))
 
 
+@inventory_report
 def pct_everyone_files(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     return _pct_tile(inv, run_id, acl_mentions("Everyone"))
 
 
+@inventory_report
 def orphan_count(inv: DataFrame, run_id: str | None = None, mode: str = "current") -> DataFrame:
     return for_run(inv, run_id).agg(count_if(is_orphan(mode)).alias("orphans"))
 
 
+@inventory_report
 def flag_count(inv: DataFrame, run_id: str | None = None, letter: str = "W", name: str = "widens") -> DataFrame:
     return for_run(inv, run_id).agg(count_if(has_flag(letter)).alias(name))
 
 
+@inventory_report
 def everyone_count(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     return for_run(inv, run_id).agg(count_if(acl_mentions("Everyone")).alias("every"))
 
 
+@inventory_report
 def naive_broken_count(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     return for_run(inv, run_id).agg(count_if(naive_broken()).alias("broken"))
 
 
+@inventory_report
 def modified_recently(inv: DataFrame, run_id: str | None = None, as_of=None, days: int = 1) -> DataFrame:
     return for_run(inv, run_id).agg(count_if(newer_than("modified", days, as_of)).alias("active"))
 
 
+@inventory_report
 def orphan_bytes(inv: DataFrame, run_id: str | None = None, mode: str = "current") -> DataFrame:
     return for_run(inv, run_id).agg(sum_if(is_orphan(mode)).alias("bytes"))
 
 
+@inventory_report
 def acl_protected(inv: DataFrame, run_id: str | None = None, case_sensitive: bool = False) -> DataFrame:
     """Protected (P) and may-narrow (N) counts and shares."""
     return (
@@ -137,6 +152,7 @@ def acl_protected(inv: DataFrame, run_id: str | None = None, case_sensitive: boo
     )
 
 
+@inventory_report
 def ingest_facts(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Row, file and directory counts, URI length and encoding facts, time range."""
     return for_run(inv, run_id).agg(
@@ -151,6 +167,7 @@ def ingest_facts(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     )
 
 
+@inventory_report
 def kpis(
     inv: DataFrame, run_id: str | None = None, as_of=None, hot_rate: float = 23.0, archive_rate: float = 4.0
 ) -> DataFrame:

@@ -9,9 +9,10 @@ from invlens.functions.classifiers import chargeback_group, owner_class
 from invlens.functions.predicates import is_orphan, is_service_account
 from invlens.functions.scalars import human_size
 from invlens.operators.aggregates import top_k, with_share
-from invlens.plans.common import desc_then, for_run, n_rows, sum_or_zero
+from invlens.plans.common import desc_then, for_run, inventory_report, n_rows, sum_or_zero
 
 
+@inventory_report
 def chargeback(
     inv: DataFrame,
     run_id: str | None = None,
@@ -31,6 +32,7 @@ def chargeback(
     return g.withColumn("bytes_human", human_size("bytes")).orderBy(*desc_then("bytes"), "chargeback_group")
 
 
+@inventory_report
 def ownership_split(inv: DataFrame, run_id: str | None = None, pct: bool = False, domain: str = "DEMO") -> DataFrame:
     """Files and bytes per owner class (R7); ``pct`` adds the share of files."""
     rows = for_run(inv, run_id).withColumn("bucket", owner_class(domain=domain))
@@ -39,6 +41,7 @@ def ownership_split(inv: DataFrame, run_id: str | None = None, pct: bool = False
     return g.orderBy(*desc_then("files"), "bucket")
 
 
+@inventory_report
 def orphan_sids(
     inv: DataFrame,
     run_id: str | None = None,
@@ -60,6 +63,7 @@ def orphan_sids(
     return top_k(g, desc_then(order_by), limit, ["owner_sid"])
 
 
+@inventory_report
 def service_accounts(
     inv: DataFrame, run_id: str | None = None, human: bool = True, folders: bool = False, domain: str = "DEMO", order_by: str = "files"
 ) -> DataFrame:
@@ -72,6 +76,7 @@ def service_accounts(
     return g.orderBy(*desc_then(order_by), "owner_name")
 
 
+@inventory_report
 def top_owners(inv: DataFrame, run_id: str | None = None, by: str = "bytes", limit: int = 10) -> DataFrame:
     """Owners with the most bytes (R35) or files."""
     metric = sum_or_zero("size") if by == "bytes" else n_rows()

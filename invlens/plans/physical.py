@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invlens.functions.predicates import is_file
@@ -151,3 +151,57 @@ def capacity_tile(
     return capacity(inv, phys, run_id, size_metric, on_missing).withColumn(
         "capacity_human", human_size("capacity_bytes")
     )
+
+
+def spot_sample(inv: DataFrame, run_id: str | None = None, k: int = 20) -> DataFrame:
+    """``k`` files of the run for a second probe: those of smallest MD5 of their URI, so the same on every run."""
+    files = for_run(inv, run_id).where(is_file()).select("run_id", "file_uri")
+    return files.orderBy(F.md5(F.col("file_uri").cast("binary")), "file_uri").limit(k)
+
+
+def acceptance_check(
+    inv: DataFrame,
+    phys: DataFrame,
+    run_id: str,
+    expected_allocated: Column | int,
+    probed_again: DataFrame,
+    tolerance: float = 0.05,
+    max_missing: float = 0.001,
+    k: int = 20,
+) -> DataFrame:
+    """``(bar, value, expected, ok)``: the four acceptance bars of a probe load.
+
+    ``row_count``: different files probed against files of the run.
+    ``allocated_total``: latest allocated bytes against ``expected_allocated``
+    (a number or a scalar subquery) within ``tolerance``. ``spot_check``: of the
+    ``k`` files of :func:`spot_sample`, those whose latest ``allocated`` equals the
+    second probe in ``probed_again (file_uri, allocated)``; all must. ``missing_share``:
+    share of the files without a probe, under ``max_missing``.
+    """
+    files = for_run(inv, run_id).where(is_file()).select("file_uri")
+    latest = latest_physical(for_run(phys, run_id), ["file_uri"])
+    joined = files.join(latest, "file_uri", "left").agg(
+        F.count(F.lit(1)).alias("files"), F.count("allocated").alias("probed"), F.coalesce(F.sum("allocated"), F.lit(0).cast("long")).alias("total")
+    )
+    again = probed_again.select(F.col("file_uri").alias("_uri"), F.col("allocated").alias("_again"))
+    # The sample has k rows at most, so it is sent to the tasks and neither table is shuffled for it.
+    sample = F.broadcast(spot_sample(inv, run_id, k).select("file_uri"))
+    probes = for_run(phys, run_id).join(sample, "file_uri", "left_semi")
+    second = again.join(sample, again["_uri"] == sample["file_uri"], "left_semi")
+    spot = second.join(latest_physical(probes, ["file_uri"]), F.col("_uri") == F.col("file_uri"), "left")
+    matched = spot.agg(F.count_if(F.col("allocated") == F.col("_again"))).scalar()
+    sampled = spot_sample(inv, run_id, k).agg(F.count(F.lit(1))).scalar()
+    expected = expected_allocated if isinstance(expected_allocated, Column) else F.lit(int(expected_allocated))
+    one = joined.select("*", matched.alias("matched"), sampled.alias("sampled"), expected.cast("double").alias("expected"))
+    share = F.coalesce(F.try_divide((F.col("files") - F.col("probed")).cast("double"), F.col("files").cast("double")), F.lit(0.0))
+
+    def bar(name, value, wanted, ok):
+        return F.struct(F.lit(name).alias("bar"), value.cast("double").alias("value"), wanted.cast("double").alias("expected"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    bars = F.array(
+        bar("row_count", F.col("probed"), F.col("files"), F.col("probed") == F.col("files")),
+        bar("allocated_total", F.col("total"), F.col("expected"), F.abs(F.col("total") - F.col("expected")) <= tolerance * F.col("expected")),
+        bar("spot_check", F.col("matched"), F.col("sampled"), F.col("matched") == F.col("sampled")),
+        bar("missing_share", share, F.lit(max_missing), share < max_missing),
+    )
+    return one.select(F.explode(bars).alias("b")).select("b.*")

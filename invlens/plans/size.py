@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from invlens.functions.classifiers import LOG_SIZE_BUCKETS, LOG_SIZE_REST, SIZE_BANDS, SIZE_BANDS_REST, size_band
 from invlens.functions.scalars import human_size, path_depth
 from invlens.operators.aggregates import exact_quantiles, top_k
-from invlens.plans.common import desc_then, for_run, n_rows, sum_or_zero
+from invlens.plans.common import desc_then, for_run, inventory_report, n_rows, sum_or_zero
 
 SIZE_QUANTILES = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95}
 DEPTH_QUANTILES = {"p95_depth": 0.95, "p50_depth": 0.50}
 
 
+@inventory_report
 def extensions(
     inv: DataFrame,
     run_id: str | None = None,
@@ -33,6 +34,7 @@ def extensions(
     return top_k(g, desc_then(order_by), limit, ["extension"])
 
 
+@inventory_report
 def size_buckets(inv: DataFrame, run_id: str | None = None, human: bool = False) -> DataFrame:
     """Files and bytes per log-scale size bucket, ordered by smallest size."""
     rows = for_run(inv, run_id).withColumn("bucket", size_band(LOG_SIZE_BUCKETS, LOG_SIZE_REST))
@@ -43,6 +45,7 @@ def size_buckets(inv: DataFrame, run_id: str | None = None, human: bool = False)
     return g.orderBy("_min").select(*cols)
 
 
+@inventory_report
 def size_bands(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Files and bytes per numbered size band."""
     rows = for_run(inv, run_id).withColumn("size_band", size_band(SIZE_BANDS, SIZE_BANDS_REST))
@@ -50,6 +53,7 @@ def size_bands(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     return g.withColumn("bytes_human", human_size("bytes")).orderBy("size_band")
 
 
+@inventory_report
 def size_quantiles(
     inv: DataFrame,
     run_id: str | None = None,
@@ -81,8 +85,9 @@ def size_quantiles(
     return out.withColumn("avg_human", human_size(F.col("avg_bytes").cast("long")))
 
 
+@inventory_report
 def tree_depth(inv: DataFrame, run_id: str | None = None) -> DataFrame:
     """Maximum, 95th and 50th percentile of path depth over non-empty paths."""
     rows = for_run(inv, run_id).where(F.col("file_path") != "").withColumn("depth", path_depth())
-    q = exact_quantiles(rows, "depth", DEPTH_QUANTILES, summary=True)
+    q = exact_quantiles(rows, "depth", DEPTH_QUANTILES, summary=True, levels=0)
     return q.select(F.col("max").cast("int").alias("max_depth"), "p95_depth", "p50_depth")

@@ -130,6 +130,39 @@ def file_physical_from_inventory(inv: DataFrame) -> DataFrame:
     return enforce_schema(first.unionByName(again), FILE_PHYSICAL)
 
 
+def varied_inventory(inv: DataFrame) -> DataFrame:
+    """``inv`` with the values that the plain derivation lacks.
+
+    ACLs that name Everyone, shares, groups, DENY and SIDs; unresolved owners
+    and several service accounts; a second host, URIs without a Windows path, non-ASCII names;
+    paths that end in a file name; the flag Z.
+    """
+    n, uri, owner, acl = F.col("size"), F.col("file_uri"), F.col("owner_name"), F.col("acl")
+    ace = F.when(n % 7 == 1, "(A;;FA;;;Everyone)").when(n % 7 == 2, f"(A;;FA;;;DEMO{BS}DL_Share_RW)").when(n % 7 == 3, "(DENY;;FA;;;BU)")
+    ace = ace.when(n % 7 == 4, "(A;;FA;;;S-1-5-21-9)").when(n % 7 == 5, f"(A;;FA;;;DEMO{BS}GG_IT)").otherwise("")
+    service = F.concat(F.lit(f"DEMO{BS}svc_"), _pick(n % 3, ("backup", "scan", "etl")))
+    return inv.withColumns(
+        {
+            "acl": F.concat(acl, ace),
+            "owner_name": F.when((owner == "") & (n % 2 == 1), "Unresolved account").when(owner == f"DEMO{BS}svc_backup", service).otherwise(owner),
+            "file_uri": F.when(n % 5 == 2, F.replace(uri, F.lit("win://host/"), F.lit("win://host2/")))
+            .when(n % 37 == 3, F.replace(uri, F.lit("win://"), F.lit("nfs://")))
+            .when(n % 11 == 5, F.concat(uri, F.lit("é")))
+            .otherwise(uri),
+            "file_path": F.when(n % 3 == 1, F.concat("file_path", F.lit("x"))).otherwise(F.col("file_path")),
+            "acl_analysis": F.when(n % 13 == 4, F.concat("acl_analysis", F.lit("Z"))).otherwise(F.col("acl_analysis")),
+        }
+    )
+
+
+def varied_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The varied inventory and its probes, with probes of files that no run has."""
+    inv = varied_inventory(fixture_inventory(spark, sf_dir))
+    phys = file_physical_from_inventory(inv)
+    gone = phys.where(F.col("allocated") % 17 == 3).withColumn("file_uri", F.concat("file_uri", F.lit(".gone")))
+    return inv, phys.unionByName(gone)
+
+
 def load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
 
@@ -196,3 +229,24 @@ SELECT run_id, file_uri, CASE WHEN size < 131072 THEN size ELSE CAST(131072 AS B
 UNION ALL
 SELECT run_id, file_uri, CAST(4096 AS BIGINT), TIMESTAMP '2024-06-01 13:00:00' FROM f WHERE n % 29 <> 0 AND size % 13 = 0)
 """
+
+# The varied inventory and its probes as SQL, on top of FIXTURE_SQL.
+VARIED_SQL = r"""
+varied AS (
+SELECT * REPLACE (
+  acl || CASE size % 7 WHEN 1 THEN '(A;;FA;;;Everyone)' WHEN 2 THEN '(A;;FA;;;DEMO' || chr(92) || 'DL_Share_RW)' WHEN 3 THEN '(DENY;;FA;;;BU)'
+    WHEN 4 THEN '(A;;FA;;;S-1-5-21-9)' WHEN 5 THEN '(A;;FA;;;DEMO' || chr(92) || 'GG_IT)' ELSE '' END AS acl,
+  CASE WHEN owner_name = '' AND size % 2 = 1 THEN 'Unresolved account'
+    WHEN owner_name = 'DEMO' || chr(92) || 'svc_backup' THEN 'DEMO' || chr(92) || 'svc_' || CASE size % 3 WHEN 0 THEN 'backup' WHEN 1 THEN 'scan' ELSE 'etl' END
+    ELSE owner_name END AS owner_name,
+  CASE WHEN size % 5 = 2 THEN replace(file_uri, 'win://host/', 'win://host2/') WHEN size % 37 = 3 THEN replace(file_uri, 'win://', 'nfs://')
+    WHEN size % 11 = 5 THEN file_uri || 'é' ELSE file_uri END AS file_uri,
+  CASE WHEN size % 3 = 1 THEN file_path || 'x' ELSE file_path END AS file_path,
+  CASE WHEN size % 13 = 4 THEN acl_analysis || 'Z' ELSE acl_analysis END AS acl_analysis)
+FROM scan_results),
+varied_physical AS (
+WITH f AS (SELECT run_id, file_uri, size, length(file_uri) AS n FROM varied WHERE filename <> ''),
+p AS (SELECT run_id, file_uri, CASE WHEN size < 131072 THEN size ELSE CAST(131072 AS BIGINT) END AS allocated, TIMESTAMP '2024-06-01 12:00:00' AS probed_at FROM f WHERE n % 29 <> 0
+  UNION ALL SELECT run_id, file_uri, CAST(4096 AS BIGINT), TIMESTAMP '2024-06-01 13:00:00' FROM f WHERE n % 29 <> 0 AND size % 13 = 0)
+SELECT * FROM p UNION ALL SELECT run_id, file_uri || '.gone', allocated, probed_at FROM p WHERE allocated % 17 = 3)
+"""

@@ -16,9 +16,12 @@ from invlens.functions.scalars import windows_path
 from invlens.schema import FILE_PHYSICAL, enforce_schema
 
 TAB = "\t"
-# Reject classes of the walker; only PATH_CONVERT is decidable from data.
+LEDGER_SCHEMA = "load_id string, run_id string, rows long, allocated long, rejected long, landed_at timestamp_ntz"
+# Outcomes of a fed file: probed, no Windows path for its URI, no probe; and a probe of a file that the run doesn't have.
+OUTCOME_OK = "OK"
 REJECT_PATH_CONVERT = "PATH_CONVERT"
 REJECT_MISSING = "MISSING"
+OUTCOME_NOT_IN_RUN = "NOT_IN_RUN"
 
 
 def probe_feed(inv: DataFrame, run_id: str | None = None) -> DataFrame:
@@ -119,6 +122,49 @@ def split_rejects(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def probe_outcomes(inv: DataFrame, phys: DataFrame, run_id: str | None = None) -> DataFrame:
+    """``(run_id, file_uri, win_path, outcome)`` for every file fed and every file probed, from one full outer join.
+
+    ``PATH_CONVERT``: the URI gives no Windows path; ``MISSING``: fed and
+    convertible but without a probe; ``OK``: probed; ``NOT_IN_RUN``: a probe whose file
+    the run doesn't have. Probes are made distinct map-side first.
+    """
+    fed = probe_feed(inv, run_id).select("run_id", "file_uri", windows_path("file_uri").alias("win_path"), F.lit(True).alias("fed"))
+    probed = (phys if run_id is None else phys.where(F.col("run_id") == run_id)).select("run_id", "file_uri").distinct().withColumn("probed", F.lit(True))
+    outcome = (
+        F.when(F.col("fed").isNull(), OUTCOME_NOT_IN_RUN)
+        .when(F.col("win_path").isNull(), REJECT_PATH_CONVERT)
+        .when(F.col("probed").isNull(), REJECT_MISSING)
+        .otherwise(OUTCOME_OK)
+    )
+    return fed.join(probed, ["run_id", "file_uri"], "full_outer").select("run_id", "file_uri", "win_path", outcome.alias("outcome"))
+
+
+def write_probe_outcomes(inv: DataFrame, phys: DataFrame, path: str, run_id: str | None = None) -> None:
+    """All outcomes side by side in one pass, one folder per run and outcome; other runs at ``path`` stay."""
+    rows = probe_outcomes(inv, phys, run_id)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "outcome").parquet(path)
+
+
+def remaining_feed(inv: DataFrame, phys: DataFrame, run_id: str | None = None) -> DataFrame:
+    """``(run_id, file_uri)`` still to be probed: files with a Windows path that the allocation table doesn't hold.
+
+    This closes the loop after a load that broke off: what landed is in the
+    table, the next feed is the gap, and an empty feed means the run is done.
+    """
+    feed = probe_feed(inv, run_id).where(windows_path("file_uri").isNotNull())
+    return feed.join(phys.select("run_id", "file_uri").distinct(), ["run_id", "file_uri"], "left_anti")
+
+
+def read_load_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The load ledger beside the allocation table at ``path``: a row per landed load and run.
+
+    ``(load_id, run_id, rows, allocated, rejected, landed_at)``; a load that was repeated is there
+    once, a load that broke off before its files were in place isn't there.
+    """
+    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{path.rstrip('/')}_ledger")
+
+
 def write_with_rejects(feed: DataFrame, path: str) -> None:
     """One pass: write good and rejected rows side by side, partitioned by outcome."""
     (

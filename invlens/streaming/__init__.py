@@ -1,6 +1,7 @@
 """Structured Streaming monitors and the probe loader."""
 
 from invlens.streaming.monitor import (
+    distinct_probes,
     inventory_stream,
     inventory_totals,
     load_probe_stream,
@@ -8,9 +9,11 @@ from invlens.streaming.monitor import (
     monitor_probes,
     probe_completion,
     start_monitor,
+    with_progress,
 )
 
 __all__ = [
+    "distinct_probes",
     "inventory_stream",
     "inventory_totals",
     "load_probe_stream",
@@ -18,4 +21,5 @@ __all__ = [
     "monitor_probes",
     "probe_completion",
     "start_monitor",
+    "with_progress",
 ]

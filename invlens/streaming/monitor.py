@@ -69,11 +69,12 @@ def probe_completion(phys: DataFrame, expected: Mapping[str, int] | int) -> Data
     ``expected`` is the number of files per run (a mapping) or one number
     for every run; ``done`` turns true once that many different files have a
     probe. Re-probes of a file don't count. ``phys`` may also be a stream of the
-    allocation table with ``dropDuplicates`` on the key.
+    allocation table.
     """
-    keys = phys.select("run_id", "file_uri")
-    files = keys if phys.isStreaming else keys.distinct()
-    g = files.groupBy("run_id").agg(F.count(F.lit(1)).alias("files_probed"))
+    if phys.isStreaming:
+        g = distinct_probes(phys)
+    else:
+        g = phys.select("run_id", "file_uri").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("files_probed"))
     if isinstance(expected, Mapping):
         lookup = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(int(v)))])
         exp = F.try_element_at(lookup, F.col("run_id")) if expected else F.lit(None)
@@ -86,6 +87,22 @@ def probe_completion(phys: DataFrame, expected: Mapping[str, int] | int) -> Data
     )
 
 
+def distinct_probes(stream: DataFrame) -> DataFrame:
+    """Per run of a streamed allocation table: different files probed, exact over restarts.
+
+    The keys seen are the query's state, kept in its checkpoint, so a file probed
+    again, in the same load or after a restart, does not count again. State grows with
+    the files of the runs watched, not with the probes; give a monitor its runs by a filter on ``run_id``.
+    """
+    return stream.select("run_id", "file_uri").dropDuplicates(["run_id", "file_uri"]).groupBy("run_id").agg(F.count(F.lit(1)).alias("files_probed"))
+
+
+def with_progress(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """``files_probed`` per run against ``expected (run_id, expected)``, runs without a probe included."""
+    g = expected.join(counts, "run_id", "left").select("run_id", F.coalesce("files_probed", F.lit(0).cast("long")).alias("files_probed"), "expected")
+    return g.withColumn("pct_done", F.try_divide(F.lit(100.0) * F.col("files_probed"), F.col("expected"))).withColumn("done", F.col("files_probed") >= F.col("expected"))
+
+
 def start_monitor(
     agg: DataFrame,
     query_name: str,
@@ -144,7 +161,8 @@ def load_probe_stream(
     Each micro-batch becomes plain Parquet files in the ``run_id=`` folders,
     as :func:`append_physical` writes them, so streamed and batch loads share
     one table and any reader sees both. A repeated micro-batch replaces its
-    own files. Lines that do not parse go to ``rejects`` (``<dst>_rejects`` if
+    own files. When they are in place the load is entered in the ledger beside the
+    table (:func:`invlens.sources.probes.read_load_ledger`). Lines that do not parse go to ``rejects`` (``<dst>_rejects`` if
     not given), one folder per load. ``probed_at`` is the load time of the
     micro-batch. Without ``checkpoint`` the folder is named by source and
     target, so that several loads can run side by side.
@@ -161,8 +179,16 @@ def load_probe_stream(
             staged = f"{dst.rstrip('/')}/_loads/{load_id}"
             rows = parse_probe_results(lines).select(*[f.name for f in FILE_PHYSICAL.fields])
             rows.sortWithinPartitions("run_id", "file_uri").write.mode("overwrite").partitionBy("run_id").parquet(staged)
-            _land(lines.sparkSession, staged, dst, load_id)
-            probe_result_rejects(lines).write.mode("overwrite").parquet(f"{bad.rstrip('/')}/load={load_id}")
+            session = lines.sparkSession
+            counts = session.read.schema(rows.schema).parquet(staged).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("allocated").alias("allocated"))
+            landed = counts.collect()  # a row per run of the load
+            _land(session, staged, dst, load_id)
+            rejects_of_load = probe_result_rejects(lines)
+            rejects_of_load.write.mode("overwrite").parquet(f"{bad.rstrip('/')}/load={load_id}")
+            entry = session.createDataFrame(landed, "run_id string, rows long, allocated long").select(
+                F.lit(load_id).alias("load_id"), "run_id", "rows", "allocated", F.lit(rejects_of_load.count()).cast("long").alias("rejected"), F.localtimestamp().alias("landed_at")
+            )
+            entry.coalesce(1).write.mode("overwrite").parquet(f"{dst.rstrip('/')}_ledger/load={load_id}")
         finally:
             lines.unpersist()
 
