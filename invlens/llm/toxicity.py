@@ -9,7 +9,6 @@ cover every word of a text; a document's score is that of its worst window.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +26,22 @@ HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 8, 12, 1 << 17
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 MAX_VOCABULARY = 20_000
 THRESHOLD = 0.7
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Texts at which a feature's log odds count half.
+SHRINK = 4.0
+#: A word: letters and digits with at least one letter, so that figures in place of letters stay inside it.
+_WORDS = re.compile(r"(?=\d*[^\W\d_])[^\W_]+")
 _GRAMS = (3, 4, 5)
+#: A longer run of letters (a script without spaces, spaces taken out) becomes pieces of this length, overlapping by half.
+PIECE = 32
+#: Distinct words whose n-grams are held at once while their inputs are added up.
+_CHUNK = 4096
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+    found = _WORDS.findall((text or "").lower())
+    if not any(len(w) > PIECE for w in found):
+        return found
+    return [piece for w in found for piece in ([w] if len(w) <= PIECE else [w[i:i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
 
 
 def held_out(doc_id):
@@ -53,10 +62,10 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for i in range(n):
             h = h * np.uint64(1_000_003) + codes[i:len(codes) - n + 1 + i]
         inside = word[n - 1:] == word[:len(h)]
-        buckets.append((mix(h + np.uint64(n)) & np.uint64(BUCKETS - 1))[inside].astype(np.int64))
-        owners.append(word[:len(h)][inside])
+        buckets.append((mix(h + np.uint64(n)) & np.uint64(BUCKETS - 1))[inside].astype(np.int32))
+        owners.append(word[:len(h)][inside].astype(np.int32))
     if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     b, o = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(o, kind="stable")
     return b[order], o[order]
@@ -76,7 +85,7 @@ def window_starts(n: int) -> list[int]:
 
 @dataclass
 class Network:
-    """Parameters by name, and the vocabulary. ``constant`` is the score of all texts if there was nothing to learn from."""
+    """Parameters by name, and the vocabulary. ``constant`` is the score of all texts if there was nothing to tell apart."""
 
     p: dict[str, np.ndarray]
     vocabulary: dict[str, int]
@@ -84,13 +93,15 @@ class Network:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """What each word adds to the gates of both directions."""
-        ids = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        b, o = gram_rows(words)
-        chars = np.zeros((len(words), CHAR_DIM), np.float32)
-        if len(words):
-            starts = np.searchsorted(o, np.arange(len(words)))
-            chars = np.add.reduceat(self.p["chars"][b], starts, axis=0) / np.maximum(np.bincount(o, minlength=len(words)), 1)[:, None].astype(np.float32)
-        return np.concatenate([self.p["words"][ids], chars], axis=1) @ self.p["W"] + self.p["b"]
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+        for lo in range(0, len(words), _CHUNK):
+            some = words[lo:lo + _CHUNK]
+            ids = np.array([self.vocabulary.get(w, 0) for w in some], np.int32)
+            b, o = gram_rows(some)
+            starts = np.searchsorted(o, np.arange(len(some)))
+            chars = np.add.reduceat(self.p["chars"][b], starts, axis=0) / np.maximum(np.bincount(o, minlength=len(some)), 1)[:, None].astype(np.float32)
+            out[lo:lo + len(some)] = np.concatenate([self.p["words"][ids], chars], axis=1) @ self.p["W"] + self.p["b"]
+        return out
 
     def forward(self, gates: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """Probabilities of windows; ``gates`` is (time, window, 6 HIDDEN), ``mask`` (time, window) is 0 beyond a short text's end."""
@@ -159,8 +170,10 @@ def _initial(rng: np.random.Generator, vocabulary: int) -> dict[str, np.ndarray]
     return {"words": f(vocabulary, WORD_DIM, scale=0.1), "chars": f(BUCKETS, CHAR_DIM, scale=0.1), "W": f(dim, 6 * HIDDEN, scale=dim**-0.5), "b": np.zeros(6 * HIDDEN, np.float32), "U0": f(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5), "U1": f(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5), "A": f(k, k, scale=k**-0.5), "a": np.zeros(k, np.float32), "v": f(k, scale=0.5), "o": f(k, scale=0.5), "ob": np.zeros(1, np.float32)}
 
 
-def _log_odds(counts: tuple[Counter, Counter], rows: tuple[int, int], key) -> float:
-    return float(np.log((counts[1][key] + 0.1) / (rows[1] + 1)) - np.log((counts[0][key] + 0.1) / (rows[0] + 1)))
+def _log_odds(toxic: np.ndarray, clean: np.ndarray, rows: tuple[int, int]) -> np.ndarray:
+    """Log odds of each feature from the numbers of toxic and clean texts that have it, drawn towards 0 where these are few."""
+    raw = np.log((toxic + 0.5) / (rows[1] + 1)) - np.log((clean + 0.5) / (rows[0] + 1))
+    return (raw * (toxic + clean) / (toxic + clean + SHRINK)).astype(np.float32)
 
 
 def _adam(table: np.ndarray, m: np.ndarray, v: np.ndarray, rows, g: np.ndarray, step: int, rate: float = 0.01) -> None:
@@ -184,50 +197,68 @@ def fit(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 7) -> Networ
     Words and n-grams start from their log odds in the sample, in the first
     coordinate of their embedding. Each round picks the worst windows of every
     text by the network so far (at first by word log odds): one of each toxic
-    text, four of each clean one, and clean ones at random.
+    text, four of each clean one, and clean ones at random. With texts of one
+    label only there is nothing to tell apart, and every text scores 0.
     """
-    docs = [(words_of(t), y) for t, y in sample]
-    rows = (sum(not y for _, y in docs), sum(bool(y) for _, y in docs))
+    rows = (sum(not y for _, y in sample), sum(bool(y) for _, y in sample))
     if not rows[0] or not rows[1]:
-        return Network({}, {}, 1.0 if rows[1] and not rows[0] else 0.0)
+        return Network({}, {}, 0.0)
     rng = np.random.default_rng(seed)
-    seen, grams = (Counter(), Counter()), (Counter(), Counter())
-    distinct = sorted({w for ws, _ in docs for w in ws})
-    b, o = gram_rows(distinct)
-    cuts = np.searchsorted(o, np.arange(len(distinct) + 1))
-    of = {w: b[cuts[i]:cuts[i + 1]] for i, w in enumerate(distinct)}
-    for ws, y in docs:
-        own = set(ws)
-        seen[y].update(own)
-        if own:
-            grams[y].update(np.unique(np.concatenate([of[w] for w in own])).tolist())
-    common = sorted((w for w in distinct if seen[0][w] + seen[1][w] >= 3), key=lambda w: (-seen[0][w] - seen[1][w], w))[:MAX_VOCABULARY - 1]
-    net = Network(_initial(rng, len(common) + 1), {w: i + 1 for i, w in enumerate(common)})
+    # Every text as numbers of its words; the words themselves are kept once.
+    index: dict[str, int] = {}
+    texts = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t, _ in sample]
+    labels = np.array([bool(y) for _, y in sample])
+    distinct = list(index)
+    del index
+    seen = np.zeros((2, len(distinct)))
+    for ids, y in zip(texts, labels, strict=True):
+        seen[int(y), np.unique(ids)] += 1
+    parts, n_grams = [], np.zeros(len(distinct), np.int32)
+    for lo in range(0, len(distinct), _CHUNK):
+        b, o = gram_rows(distinct[lo:lo + _CHUNK])
+        parts.append(b)
+        n_grams[lo:lo + _CHUNK] = np.bincount(o, minlength=len(distinct[lo:lo + _CHUNK]))
+    b_all = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    del parts
+    cuts = np.concatenate([[0], np.cumsum(n_grams)])
+    grams = np.zeros((2, BUCKETS))
+    for ids, y in zip(texts, labels, strict=True):
+        if len(ids):
+            own = np.unique(ids)
+            grams[int(y), np.unique(np.concatenate([b_all[cuts[i]:cuts[i + 1]] for i in own.tolist()]))] += 1
+    often = np.flatnonzero(seen.sum(axis=0) >= 3)
+    often = often[np.lexsort((often, -seen.sum(axis=0)[often]))][:MAX_VOCABULARY - 1]
+    vocabulary_of = np.zeros(len(distinct), np.int32)
+    vocabulary_of[often] = np.arange(1, len(often) + 1)
+    net = Network(_initial(rng, len(often) + 1), {distinct[i]: k for k, i in enumerate(often.tolist(), 1)})
     p = net.p
     p["words"][0] = 0
-    for w, i in net.vocabulary.items():
-        p["words"][i, 0] = _log_odds(seen, rows, w) / 2
-    for g in {*grams[0], *grams[1]}:
-        p["chars"][g, 0] = max(-1.0, _log_odds(grams, rows, g))
-    index = {w: i for i, w in enumerate(distinct)}
-    odds = np.array([_log_odds(seen, rows, w) + 2 * float(np.sort(p["chars"][of[w], 0])[-3:].mean() if len(of[w]) else 0) for w in distinct], np.float32)
-    windows, owner, naive = [], [], []
-    for k, (ws, y) in enumerate(docs):
-        ids = np.array([index[w] for w in ws], np.int64)
-        for s in window_starts(len(ids)):
-            w = ids[s:s + WINDOW]
-            windows.append(np.concatenate([w, np.full(WINDOW - len(w), -1)]))
-            owner.append(k)
-            naive.append(odds[w].max() if len(w) else 0.0)
-    windows, owner, score = np.array(windows), np.array(owner), np.array(naive)
-    label = np.array([y for _, y in docs])[owner]
-    b_all, n_grams = b, np.diff(cuts)
+    word_odds, gram_odds = _log_odds(seen[1], seen[0], rows), _log_odds(grams[1], grams[0], rows)
+    p["words"][1:, 0] = word_odds[often] / 2
+    met = grams.sum(axis=0) > 0
+    p["chars"][met, 0] = np.maximum(-1.0, gram_odds[met])
+    odds = word_odds + 2 * np.array([np.sort(gram_odds[b_all[cuts[i]:cuts[i + 1]]])[-3:].mean() if n_grams[i] else 0 for i in range(len(distinct))], np.float32)
+    del seen, grams, word_odds, gram_odds, met
+    starts = [window_starts(len(ids)) for ids in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+    windows = np.full((len(owner), WINDOW), -1, np.int32)
+    score = np.zeros(len(owner), np.float32)
+    at = 0
+    for ids, begins in zip(texts, starts, strict=True):
+        for first in begins:
+            w = ids[first:first + WINDOW]
+            windows[at, :len(w)] = w
+            score[at] = odds[w].max() if len(w) else 0.0
+            at += 1
+    del texts, odds
+    label = labels[owner]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for epoch in range(epochs):
         if epoch and epoch % 2 == 0:
-            table = np.concatenate([net.inputs(distinct), np.zeros((1, 6 * HIDDEN), np.float32)])
-            score = np.concatenate([net.forward(table[windows[i:i + 4096].T], windows[i:i + 4096].T >= 0) for i in range(0, len(windows), 4096)])
+            table = net.inputs(distinct)
+            score = np.concatenate([net.forward(table[np.maximum(windows[i:i + 2048].T, 0)], windows[i:i + 2048].T >= 0) for i in range(0, len(windows), 2048)])
+            del table
         order = np.lexsort((-score, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         pick = order[rank < np.where(label[order] == 1, 1, 4)]
@@ -240,7 +271,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 7) -> Networ
             mask = seq >= 0
             used, place = np.unique(np.where(mask, seq, 0), return_inverse=True)
             place = place.reshape(seq.shape)
-            ids = np.array([net.vocabulary.get(distinct[i], 0) for i in used.tolist()])
+            ids = vocabulary_of[used]
             b = np.concatenate([b_all[cuts[i]:cuts[i + 1]] for i in used.tolist()])
             o = np.repeat(np.arange(len(used)), n_grams[used])
             weight = (1 / np.maximum(n_grams[used], 1))[o].astype(np.float32)
@@ -320,17 +351,18 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """The texts to learn from: of each label, the first ``rows`` ids in hash order that are not held out, texts of up to ``chars`` code points.
+    """The texts to learn from: of each label the first ``rows`` ids in hash order, of those that are not held out and have a text of up to ``chars`` code points.
 
-    The label table is reduced to those ids before it meets the texts, so at
-    most ``4 rows`` ids are broadcast and as many texts reach the driver.
+    Ids and lengths alone settle which; then at most ``2 rows`` ids are
+    broadcast, and one text of each (the least, if rows repeat an id) reaches the driver.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
-    ids = known.where("toxic = 1").orderBy(order).limit(rows).union(known.where("toxic = 0").orderBy(order).limit(rows))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
-    return [(r["text"] or "", r["toxic"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
+    known = known.where(~held_out(F.col("doc_id"))).join(texts.select("doc_id"), "doc_id", "left_semi")
+    ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(rows).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
