@@ -78,8 +78,11 @@ def blocks(benchmark: DataFrame, k: int, percent: int, limit: int = BLOCK_SHINGL
         yield build_index(rows, k, percent)
 
 
-def find(col: pa.Array, ix: Index, k: int, percent: int):
-    """(row, item, shared) for every text of a column and every item of the index that it contains."""
+def find(col: pa.Array, ix: Index, k: int, percent: int, weak: bool = True):
+    """(row, item, shared) for every text of a column and every item of the index that it contains.
+
+    Without ``weak`` an item of fewer than ``k`` words counts only where the text has no other words.
+    """
     if not len(ix.hashes):
         return
     short = sorted({int(w) for w in ix.widths if w < k})
@@ -104,6 +107,8 @@ def find(col: pa.Array, ix: Index, k: int, percent: int):
             own: dict[int, np.ndarray] = {}
             for i in sorted(items):
                 w = int(ix.widths[i])
+                if w < k and not weak and z - a != w:
+                    continue
                 if w not in own:
                     own[w] = np.unique(every[w][a:max(a, z - w + 1)])
                 shared = len(np.intersect1d(own[w], ix.sets[i], assume_unique=True))
@@ -142,7 +147,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, per
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, all columns kept; nothing is shuffled."""
+    """The rows of ``docs`` that contain no benchmark item, all columns kept; nothing is shuffled.
+
+    A few words stand in many clean texts ("yes", a name), so an item under ``k`` words takes out only a text that is it as
+    a whole; :func:`contained_items` reports all.
+    """
     for index in blocks(benchmark, k, percent):
         docs = _without(docs, index, k, percent)
     return docs
@@ -155,7 +164,7 @@ def _without(docs: DataFrame, index: Index, k: int, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             keep = np.ones(len(b), bool)
-            keep[[row for row, _, _ in find(b.column(at), sent.value, k, percent)]] = False
+            keep[[row for row, _, _ in find(b.column(at), sent.value, k, percent, weak=False)]] = False
             yield b.filter(pa.array(keep))
 
     return arrow_map(docs, run, docs.schema)

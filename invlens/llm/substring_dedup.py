@@ -30,6 +30,9 @@ from invlens.llm._store import arrow_map, shuffle_parts, written
 
 SIZE = 50
 OUTPUTS = ["n_words", "n_removed", "kept_text"]
+#: Bytes that stand for a window's words beside its key: a 64-bit hash and part of a second, independent one. Among 10^9
+#: windows of one hot key two different ones are taken for equal with a chance under 10^-6.
+WIDTH = 10
 #: Windows of one row that is sent, at most; longer runs of one key (texts of one repeated word) are cut.
 _RUN = 64
 #: Windows of one key that one task works through, at most, as long as the keys above it number ``HOT_KEYS`` at most.
@@ -73,7 +76,7 @@ def _estimated(docs: DataFrame, size: int) -> list[np.ndarray]:
 
 
 def _candidates(docs: DataFrame, bits, size: int) -> DataFrame:
-    """Runs of windows whose key is estimated repeated: six bytes of content hash per window, beside the 64-bit key."""
+    """Runs of windows whose key is estimated repeated: ``WIDTH`` bytes of content hash per window, beside the 64-bit key."""
 
     def run(batches):
         flags = bits.value
@@ -85,8 +88,8 @@ def _candidates(docs: DataFrame, bits, size: int) -> DataFrame:
                 hit = np.flatnonzero(sketch.maybe_repeated(flags, key))
                 if not len(hit):
                     continue
-                content = X.grams(hashes, size)
-                short = content.view(np.uint8).reshape(-1, 8)[:, :6]
+                second = X.grams(X.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), size)
+                short = np.concatenate([x.view(np.uint8).reshape(-1, 8) for x in (X.grams(hashes, size), second)], axis=1)[:, :WIDTH]
                 rows = []
                 for i in hit.tolist():
                     for at in range(int(starts[i]), int(ends[i]), _RUN):
@@ -117,7 +120,7 @@ def _owners(classes: DataFrame) -> DataFrame:
             for key, content, low, high, windows in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "content", "low", "high", "windows")), strict=True):
                 if key != at:
                     at, owner = key, {}
-                own = [owner.setdefault(windows[i:i + 6], low) for i in range(0, len(windows), 6)]
+                own = [owner.setdefault(windows[i:i + WIDTH], low) for i in range(0, len(windows), WIDTH)]
                 cut = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
                 if stretches := [{"owner": own[a], "offset": a, "count": z - a} for a, z in zip(cut, cut[1:], strict=False) if own[a] < high]:
                     keys.append(key)
@@ -132,7 +135,7 @@ def _owners(classes: DataFrame) -> DataFrame:
 
 def _hot_keys(found: DataFrame) -> DataFrame:
     """Keys with too many distinct windows for one task. All windows together bound their number, so they can be broadcast."""
-    n = F.octet_length("windows") / 6
+    n = F.octet_length("windows") / WIDTH
     weighed = found.select("key", "content", n.alias("n")).distinct().groupBy("key").agg(F.sum("n").alias("n"))
     total = found.agg(F.sum(n)).first()[0] or 0
     return weighed.where(F.col("n") > max(HOT_WINDOWS, int(total) // HOT_KEYS)).select("key")
@@ -148,8 +151,8 @@ def _hot_stretches(found: DataFrame, size: int) -> DataFrame:
     windows of a run that have one owner are the bits of one number.
     """
     classes = written(found.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows")), "hot-classes")
-    i = F.explode(F.sequence(F.lit(0), (F.octet_length("windows") / 6).cast("int") - 1))
-    each = classes.select("key", "content", "low", "high", "windows", i.alias("i")).withColumn("window", F.expr("substring(windows, i * 6 + 1, 6)")).drop("windows")
+    i = F.explode(F.sequence(F.lit(0), (F.octet_length("windows") / WIDTH).cast("int") - 1))
+    each = classes.select("key", "content", "low", "high", "windows", i.alias("i")).withColumn("window", F.expr(f"substring(windows, i * {WIDTH} + 1, {WIDTH})")).drop("windows")
     owned = each.groupBy("key", "window").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").drop("last")
     hit = each.join(written(owned, "owners"), ["key", "window"]).where("owner < high")
     masks = hit.groupBy("key", "content", "owner").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("m"))
