@@ -24,9 +24,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether every node has one smaller neighbour at most and that one has none: then it is the least of its component."""
-    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("a")
-    chained = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b").select("a")
-    return several.union(chained).isEmpty()
+    sides = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return sides.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:

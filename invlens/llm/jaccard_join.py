@@ -1,11 +1,15 @@
 """Exact Jaccard self-join on word shingles by a token-group matrix (operator 8).
 
-Documents with equal shingle sets are one class. Classes that share rare
-shingles are partitioned into groups: each is verified against the least class
-that shares a shingle with it, and what links so is one group. The matrix
-holds, per group, the union of its members' tokens as a bitmap. A class opens
-another group only if the tokens it can share with that union reach what the
-threshold asks for; only members of opened groups are verified one by one.
+Documents with equal shingle sets are one class. Each class is verified against
+a few classes that share a rare shingle with it, and what links to one
+centre is one group, of which no pair needs a look any more.
+
+The matrix then settles all other classes, linked or not. The classes of a token
+are put in order of size and least shingle, so that similar ones lie side by
+side, and cut into rows of about ``MEMBERS``. A row holds the union of its members'
+tokens as a bitmap. A class asks a token's rows, not its classes: it opens a row only if
+the tokens it can share with the union reach what the threshold asks for,
+and only members of opened rows are compared one by one.
 
 Which pairs need a look at all follows from the prefix rule: in any one order
 of all tokens, sets of Jaccard similarity t or more share a token among the
@@ -20,7 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from invlens.llm import _text as X
@@ -33,29 +37,29 @@ SHINGLE, PERCENT = 5, 80
 BITMAP = 32
 #: Members of one row of the matrix, about.
 MEMBERS = 64
+#: Classes of one token and size that are put in order by one task, about; more are first cut by their least shingle.
+IN_ORDER = 1 << 16
 _BLOCK = 16
 
 
-
-
 def _sizes(docs: DataFrame, k: int, cells: int) -> DataFrame:
     """One pass over the texts: per row doc_id, size and 128-bit hash of its shingle set; per task, blocks of a token count sketch."""
 
     def run(batches):
-        counts = np.zeros(cells, np.uint32)
+        counts = np.zeros(cells, np.uint8)
         names = ["doc_id", "n", "h1", "h2", "block", "data"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
             sets = list(X.shingle_sets(b.column(1), k, X.SPACE_WORD))
             if not sets:
                 continue
-            for s in sets:
-                np.add.at(counts, s & np.uint64(cells - 1), 1)
+            met, times = np.unique(np.concatenate(sets) & np.uint64(cells - 1), return_counts=True)
+            counts[met] = np.minimum(counts[met] + times, 255)
             sums = [_set_hash(s) for s in sets]
             none = [None] * len(sets)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([h[i] for h in sums], np.uint64).view(np.int64)) for i in (0, 1)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         for block in np.flatnonzero(counts.reshape(-1, 1 << _BLOCK).any(axis=1)).tolist():
-            data = zlib.compress(np.minimum(counts[block << _BLOCK:(block + 1) << _BLOCK], 255).astype(np.uint8).tobytes(), 1)
+            data = zlib.compress(counts[block << _BLOCK:(block + 1) << _BLOCK].tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, block, data), kinds, strict=True)], names)
 
     return written(arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, block int, data binary"), "shingle-sizes")
@@ -177,7 +181,7 @@ def _again(docs: DataFrame, wanted: DataFrame, k: int, what, column: str) -> Dat
 
 def _missing(x: str, y: str):
     """Bits of one bitmap that the other lacks: each stands for at least one token of the first set that the second lacks."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITMAP)), F.lit(0))
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
 
 
 def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -228,38 +232,45 @@ def _star_pairs(rows: DataFrame, stars: int, percent: int) -> DataFrame:
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    """(a, g): classes that a chain of at most three links connects with the same class g. Classes without links are not returned."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("g"))
+    return first.join(first.select(F.col("a").alias("g"), F.col("g").alias("on")), "g").select("a", F.col("on").alias("g"))
+
+
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Token rows with their class's group, of the tokens that several groups have."""
-    named = rows.select("token", "a", "n").join(groups.withColumnRenamed("node", "a"), "a", "left").withColumn("g", F.coalesce("component", "a")).drop("component")
-    several = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
+    named = rows.select("token", "a", "n").join(groups, "a", "left").withColumn("g", F.coalesce("g", "a"))
+    several = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("held")).where(F.col("lo") < F.col("hi")).select("token", "held")
     return written(named.join(several, "token"), "grouped-tokens")
 
 
-def _matrix_pairs(rows: DataFrame, maps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Class pairs of different groups, of those matrix rows only that share a prefix token with the class and that the bound leaves open.
+def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Class pairs of different groups that share a prefix token, of those matrix rows only that the bound leaves open.
 
-    A matrix row is the union of the tokens of up to about ``MEMBERS`` members
-    of one group, of like sizes, as a bitmap that may say more, never less. A
-    token of the query whose bit the row lacks is in none of its members, so
+    A token of the query whose bit a row's union lacks is in none of its members, so
     ``n - missing`` bounds the overlap; with a smaller member (n_b <= n_a) the
-    threshold asks for ``percent`` of n_a at least. An opened row gives each of
-    its members once, however many tokens it shares with the query.
+    threshold asks for ``percent`` of n_a at least. Both bounds are conditions of
+    the joins: a token's classes meet its rows, one for about ``MEMBERS`` classes,
+    and what leaves the second join are pairs whose own bitmaps are near enough.
     """
-    named = rows.select("a", "g").distinct()
-    own = maps.join(named, "a").withColumn("band", F.floor(F.log(F.col("n")) * 10))
-    crowd = own.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    part = F.pmod(F.xxhash64("a"), F.col("parts"))
-    own = written(own.join(crowd, ["g", "band"]).select("a", "n", "bits", "g", F.xxhash64("g", "band", part).alias("row")), "matrix-members")
-    cells = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(BITMAP)]
-    matrix = own.groupBy("row").agg(*cells).select("row", F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"))
-    placed = rows.select("token", "a", "n", "g").join(own.select("a", "row"), "a")
-    ranges = placed.groupBy("token", F.col("g").alias("gb"), "row").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ask = rows.join(ranges, "token").where((F.col("g") != F.col("gb")) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))).select("a", "row").distinct()
-    opened = ask.join(maps.select("a", "n", "bits"), "a").join(matrix, "row").where(100 * (F.col("n") - _missing("bits", "union")) >= percent * F.col("n")).select("a", "n", "row", F.col("bits").alias("ma"))
-    member = own.select(F.col("a").alias("b"), F.col("n").alias("nb"), "row", F.col("bits").alias("mb"))
+    known = classes.select("a", "bits", F.array_min("prefix").alias("least"))
+    placed = rows.join(known, "a").withColumn("band", F.floor(F.log(F.col("n")) * 10).cast("int"))
+    cut = F.pmod(F.xxhash64("least"), F.ceil(F.col("held") / IN_ORDER))
+    order = Window.partitionBy("token", "band", "cut").orderBy("least", "a")
+    at = F.floor((F.row_number().over(order) - 1) / MEMBERS)
+    placed = written(placed.withColumn("cut", cut).select("token", "a", "n", "g", "bits", F.xxhash64("token", "band", "cut", at).alias("row")), "matrix-members")
+    unions = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(BITMAP)]
+    matrix = placed.groupBy("token", "row").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("g").alias("glow"), F.max("g").alias("ghigh"), *unions)
+    matrix = matrix.select(F.col("token").alias("t"), "row", "low", "high", "glow", "ghigh", F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"))
+    ask = placed.select("token", "a", "n", "g", F.col("bits").alias("ma"))
+    sized = (F.col("low") <= F.col("n")) & (100 * F.col("high") >= percent * F.col("n")) & ~((F.col("glow") == F.col("g")) & (F.col("ghigh") == F.col("g")))
+    opened = ask.join(matrix, (F.col("token") == F.col("t")) & sized & (100 * (F.col("n") - _missing("ma", "union")) >= percent * F.col("n"))).select("a", "n", "g", "ma", "row")
+    member = placed.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("row").alias("in_row"), F.col("bits").alias("mb"))
     most = F.least(F.col("n") - _missing("ma", "mb"), F.col("nb") - _missing("mb", "ma"))
     near = (F.col("nb") <= F.col("n")) & _near_sizes("n", "nb", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("nb")))
-    met = opened.join(member, "row").where((F.col("a") != F.col("b")) & near)
+    met = opened.join(member, (F.col("row") == F.col("in_row")) & (F.col("g") != F.col("gb")) & near)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -273,9 +284,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     has no component. Extra columns are ignored.
 
     Texts are read in two passes and four more at most to verify candidates;
-    they are never shuffled. ``stars`` classes per shared token are tried as centres and
-    form the groups; the matrix then settles all pairs of classes in different
-    groups. Pairs inside a group need no check: they are connected already.
+    they are never shuffled. ``stars`` classes per shared token are tried as centres;
+    the matrix then settles all pairs of classes in different groups. Pairs
+    inside a group need no check: they are connected already.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
@@ -294,12 +305,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     maps = classes.select("a", "n", "bits")
     texts = base.where(F.col("doc_id").isNotNull())
     links = _verified(_bounded(_star_pairs(shared, stars, percent), maps, percent), texts, k, percent)
-    groups = written(components(links), "groups")
-    rest = _grouped(shared, groups)
+    rest = _grouped(shared, _groups(links))
     if not rest.isEmpty():
-        more = _verified(_matrix_pairs(rest, maps, groups, percent), texts, k, percent)
-        if not more.isEmpty():
-            groups = components(links.unionByName(more))
+        links = links.unionByName(_verified(_matrix_pairs(rest, classes, percent), texts, k, percent))
+    groups = components(links)
     of_class = reps.join(groups.withColumnRenamed("node", "a"), "a", "left").select("h1", "h2", "n", F.coalesce("component", "a").alias("component"))
     out = rows.join(of_class, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("c"))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").cast(kind).alias("component_id"))

@@ -1,6 +1,7 @@
 """Operators on texts against plain-Python versions: winnowing, licence scan, substring dedup, Jaccard join, decontamination."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -282,3 +283,62 @@ def test_word_hashes_do_not_depend_on_place():
 
 def test_hard_rows_are_all_there(hard):
     assert hard.count() == len(HARD) and hard.where(F.col("doc_id").isNull()).count() == 2
+
+
+def skewed_texts(variants=150, around=300):
+    """Variants of one text of 60 words, each with some words of its own, and texts around a passage that they share."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(variants):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 8])):
+            w[rng.randrange(60)] = f"v{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    passage = [f"p{i}" for i in range(30)]
+    for i in range(variants, variants + around):
+        own = [f"o{rng.randrange(3000)}" for _ in range(rng.choice([8, 30, 60]))]
+        cut = rng.randrange(len(own))
+        rows.append((i, " ".join(own[:cut] + passage + own[cut:])))
+    return rows
+
+
+def test_jaccard_matrix_stays_small_on_skew(spark):
+    """Classes that share tokens without linking: right components, and matrix joins that put out few rows, not the square of a token's classes."""
+    rows = skewed_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = {d: c for d, _, c in plain_components(rows)}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, cells=1 << 20).collect()} == want
+
+    # the matrix over classes none of which is grouped yet: every token row is its own group
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for _, t in rows]
+    tokens = defaultdict(list)
+    for i, s in enumerate(sets):
+        for t in sorted(hash(x) & ((1 << 62) - 1) for x in s)[:len(s) - math.ceil(0.8 * len(s)) + 1]:
+            tokens[t].append(i)
+    held = [(t, i, len(sets[i]), i, len(ids)) for t, ids in tokens.items() if len(ids) > 1 for i in ids]
+    maps = []
+    for i, s in enumerate(sets):
+        m = np.zeros(64 * jaccard_join.BITMAP, np.uint8)
+        m[[(hash(x) & ((1 << 62) - 1)) % len(m) for x in s]] = 1
+        maps.append((i, len(s), [hash(x) & ((1 << 62) - 1) for x in sorted(s)[:3]], np.packbits(m).view(np.int64).tolist()))
+    placed = spark.createDataFrame(held, "token long, a long, n long, g long, held long")
+    classes = spark.createDataFrame(maps, "a long, n long, prefix array<long>, bits array<long>")
+    pairs = jaccard_join._matrix_pairs(placed, classes, 80)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    linked = {(j, i) for ids in tokens.values() for i in ids for j in ids if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert linked <= got
+    todo, joined = [pairs._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if kind.endswith("JoinExec"):
+                joined.append(node.metrics().apply("numOutputRows").value())
+    square = sum(len(ids) ** 2 for ids in tokens.values())
+    assert len(joined) == 2 and joined[-1] + joined[0] < square / 4
