@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Template of one turn, after the widely used ChatML layout.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
+#: Tasks over which the ids of equal conversations are spread.
+SALTS = 64
 
 
 def collapse(conversations: DataFrame) -> DataFrame:
@@ -34,8 +36,13 @@ def collapse(conversations: DataFrame) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("at", "turn", "role", "text", "h1", "h2")))
     convs = hashed.groupBy("conv_id").agg(turns.alias("t")).withColumn("n_turns", F.size("t")).withColumn("last", F.struct("n_turns", F.element_at("t", -1)["h1"].alias("h1"), F.element_at("t", -1)["h2"].alias("h2")))
     inner = convs.select(F.explode(F.slice("t", 1, F.col("n_turns") - 1)).alias("x")).select(F.struct(F.col("x.at").alias("n_turns"), "x.h1", "x.h2").alias("last")).distinct()
-    least = convs.groupBy("last").agg(F.min("conv_id").alias("copy_of"))
-    kept = convs.join(inner, "last", "left_anti").join(least, "last")
+    # Which conversations stay is settled on ids and hashes alone. Of many equal conversations only one row a task reaches the
+    # hash they share; on the way back their ids are spread over SALTS tasks. Texts are never dealt out by hash: they stay by conv_id.
+    ends = convs.select("conv_id", "last")
+    settled = ends.groupBy("last").agg(F.min("conv_id").alias("copy_of")).join(inner, "last", "left_anti")
+    spread = settled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ids = ends.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")).join(spread, ["last", "salt"]).select("conv_id", "copy_of")
+    kept = convs.join(ids, "conv_id")
     plain = F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text")))
     return kept.select("conv_id", "n_turns", plain.alias("turns"), "copy_of")
 

@@ -169,6 +169,17 @@ def test_chat(spark):
     assert chat.formatted_conversations(df.where("false")).count() == 0
 
 
+def test_chat_with_a_third_of_equal_conversations(spark):
+    """Equal conversations all stay, prefixes of them go, and no Python runs in the plan."""
+    many = [(i, t, "user", f"turn {t}") for i in range(300) for t in range(3)] + [(i, t, "user", f"turn {t}") for i in range(300, 600) for t in range(2)] + [(i, 0, "user", f"own {i}") for i in range(600, 900)]
+    df = spark.createDataFrame(many, "conv_id long, turn long, role string, text string").repartition(5)
+    out = chat.formatted_conversations(df)
+    got = {r["conv_id"]: (r["n_turns"], r["copy_of"]) for r in out.collect()}
+    assert got == {i: (3, 0) for i in range(300)} | {i: (1, i) for i in range(600, 900)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Python", "Pandas", "Arrow") if w in plan]
+
+
 @pytest.fixture(scope="module")
 def network(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
