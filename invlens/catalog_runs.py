@@ -19,6 +19,7 @@ from invlens.operators.compare import changes_by_dept, file_changes
 from invlens.operators.joins import orphan_probes
 from invlens.plans import acl, age, capacity, cost, duplicates, mergeable, overview, ownership, physical, size, summary
 from invlens.plans.directory import source_slice
+from invlens.plans.runs import run_trend
 from invlens.session import checkpoint_dir
 from invlens.sources import probes
 from invlens.sources.export import export_reports
@@ -210,11 +211,32 @@ inv_report(
 )
 
 
-# ---------------------------------------------------------------- probe loads
-def _with_probes(run: str, files: str = "file_physical") -> str:
-    return f"(SELECT DISTINCT file_uri FROM {files} WHERE run_id = '{run}')"
+inv_report(
+    "kpis",
+    W(
+        f"SELECT *, epoch_ms(oldest_modified) AS oldest, {P('orphans', 'files', None)} AS pct_orphan, {P('widens', 'files', None)} AS pct_widens, {P('broken', 'files', None)} AS pct_broken, "
+        f"{O.dbl('bytes')} / {O.TIB} * 23.0::DOUBLE AS usd_mo, {O.dbl('frozen_bytes')} / {O.TIB} * 19.0::DOUBLE AS savings FROM ("
+        f"SELECT count(*) AS files, {S0('size')} AS bytes, count(DISTINCT owner_sid) AS owners, min(modified) AS oldest_modified, count_if({O.ORPHAN}) AS orphans, "
+        + ", ".join(f"count_if({O.flag(f)}) AS {n}" for f, n in (("W", "widens"), ("B", "broken"), ("P", "protected"), ("N", "may_narrow")))
+        + f", count_if(modified > {O.ago(1, 'DAY')}) AS active, count_if({_FROZEN}) AS dormant_3y, {SI(O.ORPHAN)} AS orphan_bytes, {SI(_FROZEN)} AS frozen_bytes, "
+        f"count_if({O.mentions('Everyone')}) AS everyone, count_if(parent_acl <> '' AND acl <> parent_acl) AS naive_broken FROM scan_results WHERE {R})"
+    ),
+    overview.kpis,
+    run_id=RUN,
+    as_of=AS_OF,
+)
+inv_report(
+    "run_trend_files_only",
+    W(
+        f"SELECT run_id, max(run_start_time) AS run_start_time, count(*) AS files, {S0('size')} AS bytes, "
+        f"count_if({O.ORPHAN}) AS orphan_files, {SI(O.ORPHAN)} AS orphan_bytes FROM scan_results WHERE {O.IS_FILE} GROUP BY run_id"
+    ),
+    run_trend,
+    files_only=True,
+)
 
 
+# ---------------------------------------------------------------- probe loads
 @register(
     "probe_completion_stream",
     W(
@@ -345,9 +367,6 @@ varied_report(
     V(f"SELECT count(*) AS rows, count_if(regexp_matches(file_uri, '[^\\x00-\\x7F]')) AS non_ascii_uris FROM varied WHERE {R}"),
     lambda inv: overview.ingest_facts(inv, RUN).select("rows", "non_ascii_uris"),
 )
-_WIN = "regexp_matches(file_uri, '^win://[^/]+/[A-Za-z]/')"
-
-
 @register(
     "probe_outcomes",
     V(

@@ -15,7 +15,7 @@ from invlens.functions.classifiers import (
     age_band,
     status,
 )
-from invlens.functions.predicates import stale
+from invlens.functions.predicates import has_dept, stale
 from invlens.functions.scalars import dept, human_size, pct
 from invlens.functions.timeutil import as_of_literal, minus
 from invlens.operators.aggregates import age_matrix, running_total, top_k, two_level_running_totals, with_share
@@ -37,7 +37,7 @@ def dormancy_by_dept(
     ``with_status`` adds the dashboard's threshold colour of each share
     (green / orange / red at 50 / 80 %, and 30 / 60 % for five years).
     """
-    rows = for_run(inv, run_id).withColumn("dept", dept()).where(F.col("dept") != "")
+    rows = for_run(inv, run_id).where(has_dept()).withColumn("dept", dept())
     g = rows.groupBy("dept").agg(
         count_if(stale("last_accessed", 1, as_of)).alias("_a1"),
         count_if(stale("last_accessed", 3, as_of)).alias("_a3"),
@@ -97,8 +97,8 @@ def dept_age_heat(inv: DataFrame, run_id: str | None = None, as_of=None, by: str
     """
     rows = (
         for_run(inv, run_id)
+        .where(has_dept())
         .withColumn("dept", dept())
-        .where(F.col("dept") != "")
         .withColumn("band", age_band(by, ACCESS_AGE_BANDS, ACCESS_AGE_REST, as_of))
     )
     g = rows.groupBy("dept", "band").agg(n_rows().alias("files"))

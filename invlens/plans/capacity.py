@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invlens.functions.predicates import stale
+from invlens.functions.predicates import has_dept, stale, year_between, year_is
 from invlens.functions.scalars import dept, human_size, path_part, top_folder_legacy
 from invlens.operators.aggregates import after_groups, top_k, with_share
 from invlens.plans.common import desc_then, for_run, inventory_report, n_rows, sum_or_zero
@@ -19,9 +19,10 @@ def dept_breakdown(inv: DataFrame, run_id: str | None = None, pct: bool = False)
     share-root rows with an empty department included, so the grouping
     runs over every row and the empty department is dropped afterwards.
     """
-    rows = for_run(inv, run_id).withColumn("dept", dept())
+    rows = for_run(inv, run_id)
     if not pct:
-        rows = rows.where(F.col("dept") != "")
+        rows = rows.where(has_dept())
+    rows = rows.withColumn("dept", dept())
     g = rows.groupBy("dept").agg(n_rows().alias("files"), sum_or_zero("size").alias("bytes"))
     if pct:
         g = with_share(g, "bytes", "pct_bytes").where(after_groups(F.col("dept") != "", "files"))
@@ -32,7 +33,7 @@ def dept_breakdown(inv: DataFrame, run_id: str | None = None, pct: bool = False)
 @inventory_report
 def dept_capacity_top(inv: DataFrame, run_id: str | None = None, limit: int = 16) -> DataFrame:
     """Top departments by bytes."""
-    rows = for_run(inv, run_id).withColumn("dept", dept()).where(F.col("dept") != "")
+    rows = for_run(inv, run_id).where(has_dept()).withColumn("dept", dept())
     g = rows.groupBy("dept").agg(sum_or_zero("size").alias("bytes"))
     return top_k(g, desc_then("bytes"), limit, ["dept"])
 
@@ -46,9 +47,10 @@ def year_histogram(
     ``pct_files`` is the share of all rows of the run, years outside the
     range included: grouping runs over all years, the range is applied after.
     """
-    rows = for_run(inv, run_id).withColumn("year", F.year("created"))
+    rows = for_run(inv, run_id)
     if not pct:
-        rows = rows.where(F.col("year").between(lo, hi))
+        rows = rows.where(year_between("created", lo, hi))
+    rows = rows.withColumn("year", F.year("created"))
     if counts_only:
         g = rows.groupBy("year").agg(n_rows().alias("files"))
     else:
@@ -61,7 +63,7 @@ def year_histogram(
 @inventory_report
 def year_cohort_by_dept(inv: DataFrame, run_id: str | None = None, year: int = 2019, limit: int = 10) -> DataFrame:
     """Departments holding the most files created in ``year``."""
-    rows = for_run(inv, run_id).where(F.year("created") == year).withColumn("dept", dept()).where(F.col("dept") != "")
+    rows = for_run(inv, run_id).where(year_is("created", year) & has_dept()).withColumn("dept", dept())
     g = rows.groupBy("dept").agg(n_rows().alias(f"files_{year}"), sum_or_zero("size").alias(f"bytes_{year}"))
     g = g.withColumn("bytes_human", human_size(f"bytes_{year}"))
     return top_k(g, desc_then(f"files_{year}"), limit, ["dept"])

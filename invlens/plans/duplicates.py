@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from invlens.functions.predicates import size_over
 from invlens.functions.scalars import human_size
 from invlens.operators.aggregates import top_k
 from invlens.plans.common import desc_then, for_run, inventory_report, n_rows, sum_or_zero
@@ -28,7 +29,7 @@ def duplicate_clusters(
     inv: DataFrame, run_id: str | None = None, min_size: int = DUPLICATE_FLOOR, limit: int | None = 50
 ) -> DataFrame:
     """``(filename, size)`` clusters with more than one copy, by wasted bytes."""
-    rows = for_run(inv, run_id).where(F.col("size") > min_size).select("filename", "size")
+    rows = for_run(inv, run_id).where(size_over(min_size)).select("filename", "size")
     g = _clusters(rows, ["filename", "size"], 2)
     return g if limit is None else top_k(g, desc_then("wasted_bytes"), limit, ["filename", "size"])
 
@@ -58,6 +59,6 @@ def content_duplicates(
     """``(hash, size)`` clusters when the inventory carries a content hash column."""
     if hash_col not in inv.columns:
         raise ValueError(f"inventory has no {hash_col!r} column")
-    rows = for_run(inv, run_id).where(F.col("size") > min_size).select(F.col(hash_col).alias("hash"), "size")
+    rows = for_run(inv, run_id).where(size_over(min_size)).select(F.col(hash_col).alias("hash"), "size")
     g = _clusters(rows, ["hash", "size"], 2)
     return g if limit is None else top_k(g, desc_then("wasted_bytes"), limit, ["hash", "size"])

@@ -9,7 +9,7 @@ from invlens.functions.predicates import is_orphan
 from invlens.functions.scalars import human_size
 from invlens.operators.compare import compare_runs, reconcile, unpivot_metrics
 from invlens.plans.capacity import dept_breakdown
-from invlens.plans.common import count_if, n_rows, sum_if, sum_or_zero
+from invlens.plans.common import count_if, inventory_report, n_rows, sum_if, sum_or_zero
 from invlens.plans.overview import overview
 from invlens.sources.inventory import list_runs
 
@@ -29,6 +29,7 @@ def run_list(inv: DataFrame) -> DataFrame:
     return list_runs(inv)
 
 
+@inventory_report
 def run_trend(inv: DataFrame) -> DataFrame:
     """Files, bytes and orphaned footprint per run."""
     return inv.groupBy("run_id").agg(
@@ -40,6 +41,7 @@ def run_trend(inv: DataFrame) -> DataFrame:
     )
 
 
+@inventory_report
 def inventory_snapshot(inv: DataFrame, approximate_runs: bool = False) -> DataFrame:
     """Rows, runs, newest modification (text, ms) and total size text of the table (M1 batch form)."""
     runs = F.approx_count_distinct("run_id") if approximate_runs else F.count_distinct("run_id")
@@ -51,11 +53,13 @@ def inventory_snapshot(inv: DataFrame, approximate_runs: bool = False) -> DataFr
     ).select("rows", "runs", "newest_modified", human_size("_bytes").alias("total_bytes"))
 
 
+@inventory_report
 def compare_dept_runs(inv: DataFrame, run_before: str, run_after: str) -> DataFrame:
     """Department files and bytes of two runs side by side with deltas."""
     return compare_runs(inv, run_before, run_after, dept_breakdown, ["dept"], ["files", "bytes"])
 
 
+@inventory_report
 def reconcile_runs(
     inv: DataFrame, run_expected: str, run_actual: str, as_of=None, tolerance: float = 0.05
 ) -> DataFrame:
