@@ -21,10 +21,11 @@ brings none of them together. The order decides speed only, never results.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from invlens.llm import _text as X
@@ -35,6 +36,8 @@ from invlens.llm.components import components
 SHINGLE, PERCENT = 5, 80
 #: Longs of a token bitmap.
 BITMAP = 32
+#: Longs of the folded bitmap that goes along with each token of a class.
+FOLDED = 8
 #: Members of one row of the matrix, about.
 MEMBERS = 64
 #: Classes of one token and size that are put in order by one task, about; more are first cut by their least shingle.
@@ -246,6 +249,18 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return written(named.join(several, "token"), "grouped-tokens")
 
 
+def _single_row_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """As ``_matrix_pairs`` for tokens whose classes are one matrix row: its members meet at once, by bitmaps folded to ``FOLDED`` longs."""
+    folded = F.array(*(reduce(Column.bitwiseOR, [F.col("bits")[j] for j in range(i, BITMAP, FOLDED)]) for i in range(FOLDED)))
+    small = rows.join(classes.select("a", folded.alias("s")), "a")
+    one = small.select("token", "a", "n", "g", F.col("s").alias("ma"))
+    two = small.select(F.col("token").alias("t"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("s").alias("mb"))
+    most = F.least(F.col("n") - _missing("ma", "mb"), F.col("nb") - _missing("mb", "ma"))
+    near = (F.col("a") > F.col("b")) & (F.col("g") != F.col("gb")) & _near_sizes("n", "nb", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("nb")))
+    pairs = one.join(two, (F.col("token") == F.col("t")) & near).select("a", "b").distinct()
+    return _bounded(pairs, classes.select("a", "n", "bits"), percent)
+
+
 def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Class pairs of different groups that share a prefix token, of those matrix rows only that the bound leaves open.
 
@@ -254,7 +269,10 @@ def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFram
     threshold asks for ``percent`` of n_a at least. Both bounds are conditions of
     the joins: a token's classes meet its rows, one for about ``MEMBERS`` classes,
     and what leaves the second join are pairs whose own bitmaps are near enough.
+    Tokens of up to ``MEMBERS`` classes are one row each, see ``_single_row_pairs``.
     """
+    few = _single_row_pairs(rows.where(F.col("held") <= MEMBERS), classes, percent)
+    rows = rows.where(F.col("held") > MEMBERS)
     known = classes.select("a", "bits", F.array_min("prefix").alias("least"))
     placed = rows.join(known, "a").withColumn("band", F.floor(F.log(F.col("n")) * 10).cast("int"))
     cut = F.pmod(F.xxhash64("least"), F.ceil(F.col("held") / IN_ORDER))
@@ -271,7 +289,7 @@ def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFram
     most = F.least(F.col("n") - _missing("ma", "mb"), F.col("nb") - _missing("mb", "ma"))
     near = (F.col("nb") <= F.col("n")) & _near_sizes("n", "nb", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("nb")))
     met = opened.join(member, (F.col("row") == F.col("in_row")) & (F.col("g") != F.col("gb")) & near)
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return few.union(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, stars: int = 3, cells: int | None = None) -> DataFrame:

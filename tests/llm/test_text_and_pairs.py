@@ -341,4 +341,4 @@ def test_jaccard_matrix_stays_small_on_skew(spark):
             if kind.endswith("JoinExec"):
                 joined.append(node.metrics().apply("numOutputRows").value())
     square = sum(len(ids) ** 2 for ids in tokens.values())
-    assert len(joined) == 2 and joined[-1] + joined[0] < square / 4
+    assert max(joined) < square / 4
