@@ -27,7 +27,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 MAX_VOCABULARY = 20_000
 THRESHOLD = 0.7
 #: Texts at which a feature's log odds count half.
-SHRINK = 4.0
+SHRINK = 1.5
 #: A word: letters and digits with at least one letter, so that figures in place of letters stay inside it.
 _WORDS = re.compile(r"(?=\d*[^\W\d_])[^\W_]+")
 _GRAMS = (3, 4, 5)
@@ -197,7 +197,8 @@ def fit(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 7) -> Networ
     Words and n-grams start from their log odds in the sample, in the first
     coordinate of their embedding. Each round picks the worst windows of every
     text by the network so far (at first by word log odds): one of each toxic
-    text, four of each clean one, and clean ones at random. With texts of one
+    text, four of each clean one, and clean ones at random. The result is the mean
+    of the parameters after each round of the second half, which is steadier than the last ones alone. With texts of one
     label only there is nothing to tell apart, and every text scores 0.
     """
     rows = (sum(not y for _, y in sample), sum(bool(y) for _, y in sample))
@@ -253,6 +254,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 7) -> Networ
     del texts, odds
     label = labels[owner]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    mean = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
     for epoch in range(epochs):
         if epoch and epoch % 2 == 0:
@@ -292,7 +294,16 @@ def fit(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 7) -> Networ
             if known.any():
                 _adam(p["words"], *moments["words"], *_row_sums(ids[known], dx[known, :WORD_DIM]), step)
             _adam(p["chars"], *moments["chars"], *_row_sums(b, dx[o, WORD_DIM:] * weight[:, None]), step)
-    return net
+        if epoch >= epochs // 2:
+            for k, v in p.items():
+                mean[k] += v / (epochs - epochs // 2)
+    return Network(mean, net.vocabulary)
+
+
+def at_threshold(p: np.ndarray) -> np.ndarray:
+    """Probabilities on the scale of the scores: the network decides at 1/2, a score at ``THRESHOLD``, so the logit is shifted by the threshold's."""
+    odds = THRESHOLD / (1 - THRESHOLD)
+    return p * odds / (p * odds + 1 - p)
 
 
 class Scorer:
@@ -347,7 +358,7 @@ class Scorer:
                     seq = ids[at] if whole else np.where(mask, ids[np.minimum(at, max(len(ids) - 1, 0))] if len(ids) else 0, 0)
                     np.maximum.at(out, lo + owner[rows], self.net.forward(self.table[seq], mask))
             lo = hi
-        return out
+        return at_threshold(out)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:

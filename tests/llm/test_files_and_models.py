@@ -228,7 +228,7 @@ def plain_scores(net, texts):
             e = np.tanh(h @ p["A"] + p["a"]) @ p["v"]
             w = np.exp(e - e.max())
             pooled = (w / w.sum()) @ h
-            best = max(best, float(sigmoid(pooled @ p["o"] + p["ob"][0])))
+            best = max(best, float(sigmoid(pooled @ p["o"] + p["ob"][0] + np.log(0.7 / 0.3))))  # decided at 1/2, scored at 0.7
         out.append(best)
     return out
 
@@ -255,7 +255,7 @@ def test_toxicity_sample_is_bounded_and_skips_odd_labels(spark):
     labels = spark.createDataFrame([(i % 60, int(i % 60 % 3 == 0)) for i in range(300)] + [(None, 1), (2, None), (50, 1), (51, 0)], "doc_id long, toxic int")
     out = toxicity.labelled_sample(docs, labels, rows=8, chars=20)
     held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1}
-    toxic = {i for i in range(40) if i % 3 == 0} - held
+    toxic = {*(i for i in range(40) if i % 3 == 0), 51} - held  # the null text of 51 is an empty one; that of 50 is too long
     assert sum(y for _, y in out) == min(8, len(toxic)) and len(out) <= 16
     ids = {int(t.split()[1]) % 40 for t, _ in out if t}
     assert len(ids) >= len(out) - 1 and not ids & held  # one text for each id
