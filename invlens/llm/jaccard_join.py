@@ -266,9 +266,9 @@ def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
     A token of the query whose bit a row's union lacks is in none of its members, so
     ``n - missing`` bounds the overlap; with a smaller member (n_b <= n_a) the
-    threshold asks for ``percent`` of n_a at least. Both bounds are conditions of
-    the joins: a token's classes meet its rows, one for about ``MEMBERS`` classes,
-    and what leaves the second join are pairs whose own bitmaps are near enough.
+    threshold asks for ``percent`` of n_a at least. A token's classes meet its rows, one for about
+    ``MEMBERS`` classes, which carry their members along; the bound, and for open rows the members' own
+    bitmaps, are conditions of the join, so only rows with a near member leave it.
     Tokens of up to ``MEMBERS`` classes are one row each, see ``_single_row_pairs``.
     """
     few = _single_row_pairs(rows.where(F.col("held") <= MEMBERS), classes, percent)
@@ -280,15 +280,18 @@ def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFram
     at = F.floor((F.row_number().over(order) - 1) / MEMBERS)
     placed = written(placed.withColumn("cut", cut).select("token", "a", "n", "g", "bits", F.xxhash64("token", "band", "cut", at).alias("row")), "matrix-members")
     unions = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(BITMAP)]
-    matrix = placed.groupBy("token", "row").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("g").alias("glow"), F.max("g").alias("ghigh"), *unions)
-    matrix = matrix.select(F.col("token").alias("t"), "row", "low", "high", "glow", "ghigh", F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"))
+    member = F.struct(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("bits").alias("mb"))
+    matrix = placed.groupBy("token", "row").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("g").alias("glow"), F.max("g").alias("ghigh"), F.collect_list(member).alias("members"), *unions)
+    matrix = matrix.select(F.col("token").alias("t"), "low", "high", "glow", "ghigh", "members", F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"))
     ask = placed.select("token", "a", "n", "g", F.col("bits").alias("ma"))
     sized = (F.col("low") <= F.col("n")) & (100 * F.col("high") >= percent * F.col("n")) & ~((F.col("glow") == F.col("g")) & (F.col("ghigh") == F.col("g")))
-    opened = ask.join(matrix, (F.col("token") == F.col("t")) & sized & (100 * (F.col("n") - _missing("ma", "union")) >= percent * F.col("n"))).select("a", "n", "g", "ma", "row")
-    member = placed.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("row").alias("in_row"), F.col("bits").alias("mb"))
-    most = F.least(F.col("n") - _missing("ma", "mb"), F.col("nb") - _missing("mb", "ma"))
-    near = (F.col("nb") <= F.col("n")) & _near_sizes("n", "nb", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("nb")))
-    met = opened.join(member, (F.col("row") == F.col("in_row")) & (F.col("g") != F.col("gb")) & near)
+    opened = sized & (100 * (F.col("n") - _missing("ma", "union")) >= percent * F.col("n"))
+
+    def near(m):
+        most = F.least(F.col("n") - _missing("ma", m["mb"]), m["nb"] - _missing(m["mb"], "ma"))
+        return (m["nb"] <= F.col("n")) & (F.col("g") != m["gb"]) & _near_sizes("n", m["nb"], percent) & ((100 + percent) * most >= percent * (F.col("n") + m["nb"]))
+
+    met = ask.join(matrix, (F.col("token") == F.col("t")) & opened & F.exists("members", near)).select("a", F.explode(F.filter(F.transform("members", lambda m: F.when(near(m), m["b"])), lambda b: b.isNotNull())).alias("b"))
     return few.union(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
 
 
