@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,6 +103,56 @@ def test_licenses_against_plain_search(docs, hard, no_docs):
         assert got == want
 
 
+ISC_OLD = "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."""
+POSTGRES = "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."
+CDDL = "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."
+GPL3 = "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+def plain_templates(text):
+    """Labels of ``TEMPLATES`` by a search of every key phrase at every word."""
+    ws = (text or "").translate(LOWER)
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ws)
+    out = set()
+    for label, (words, keys) in licenses.TEMPLATES.items():
+        t, keys = words.split(), [k.split() for k in keys]
+        at = lambda where, k: [i for i in range(len(where) - len(k) + 1) if where[i:i + len(k)] == k]
+        gaps = [at(t, k)[0] - at(t, keys[0])[0] for k in keys]
+        if any(all(any(abs(b - a - g) <= licenses.DRIFT for b in at(ws, k)) for k, g in zip(keys, gaps, strict=True)) for a in at(ws, keys[0])):
+            out.add(label)
+    return out
+
+
+def test_license_templates(spark):
+    drift = licenses.DRIFT
+    both = lambda n: "common development and distribution license " + "x " * n + "you may not use this file except in compliance with the license"
+    rows = [
+        (1, ISC_OLD), (2, "// " + ZLIB.replace("\n", "\n// ")), (3, POSTGRES), (4, CDDL), (5, GPL3), (6, GPL3.replace("version 3", "version 2")),
+        (7, ZLIB.replace("Altered source", "Changed source")), (8, POSTGRES.replace("two", "three")), (9, both(2 + drift)), (10, both(3 + drift)),
+        (11, ISC_OLD + " filler" * 50 + " " + ZLIB), (12, ZLIB + " " + ZLIB), (13, None), (14, ""), (None, CDDL), (4, CDDL),
+        (15, "you may not use this file except in compliance with the license common development and distribution license"),
+        *[(100 + i, words) for i, (words, _) in enumerate(licenses.TEMPLATES.values())], (200, "fee origin versions altered " * 5000 + CDDL),
+    ]
+    df = spark.createDataFrame([(d, t, "mine") for d, t in rows], "doc_id long, text string, labels string")
+    got = Counter((r["doc_id"], frozenset(r["labels"].split(",")) & set(licenses.TEMPLATES) - set(licenses.PHRASES.values())) for r in licenses.scan_licenses(df).collect())
+    own = set(licenses.TEMPLATES) - set(licenses.PHRASES.values())
+    assert got == Counter((d, frozenset(plain_templates(t) & own)) for d, t in rows)
+    by_id = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan_licenses(df).collect()}
+    assert [sorted(by_id[i]) for i in (1, 2, 3, 4)] == [["ISC"], ["Zlib"], ["PostgreSQL"], ["CDDL-1.0"]]
+    assert "GPL-3.0-or-later" in by_id[5] and "GPL-2.0-or-later" in by_id[6] and "gpl" in by_id[6]
+    assert by_id[7] == by_id[8] == by_id[10] == by_id[13] == {""} and by_id[9] == {"CDDL-1.0"} and by_id[11] == {"ISC", "Zlib"}
+    for i, label in enumerate(licenses.TEMPLATES):
+        assert label in by_id[100 + i]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(d, t) for d, t in rows], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    want = Counter(con.sql(licenses.scan_sql()).fetchall())
+    assert Counter(tuple(r) for r in licenses.scan_licenses(df).collect()) == want
+
+
 def test_licenses_is_native(docs):
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
