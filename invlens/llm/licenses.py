@@ -91,12 +91,18 @@ TEMPLATES = {
 #: Words that may be missing or more between the first and any other key phrase of a template (names, numbering, rewordings).
 DRIFT = 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), 1)
+    """The words of a text, lower-cased; none for null.
+
+    Letters beyond ASCII may be lower-cased too, which changes no comparison with an ASCII
+    phrase: of those only the Kelvin sign becomes an ASCII word by it, so it is replaced first.
+    """
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00aa")))
+    return F.array_remove(F.split(lowered, SEPARATOR), "")
 
 
 def document_frequencies(worded: DataFrame, vocabulary: list[str]) -> dict[str, int]:

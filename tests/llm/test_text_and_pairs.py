@@ -133,7 +133,7 @@ def test_license_templates(spark):
     rows = [
         (1, ISC_OLD), (2, "// " + ZLIB.replace("\n", "\n// ")), (3, POSTGRES), (4, CDDL), (5, GPL3), (6, GPL3.replace("version 3", "version 2")),
         (7, ZLIB.replace("Altered source", "Changed source")), (8, POSTGRES.replace("two", "three")), (9, both(2 + drift)), (10, both(3 + drift)),
-        (11, ISC_OLD + " filler" * 50 + " " + ZLIB), (12, ZLIB + " " + ZLIB), (13, None), (14, ""), (None, CDDL), (4, CDDL),
+        (11, ISC_OLD + " filler" * 50 + " " + ZLIB), (12, ZLIB + " " + ZLIB), (13, None), (14, ""), (16, "M\u0130T License, m\u0130t license; mar\u212aed\x00MIT\x7fLICENSE"), (17, ZLIB.replace("marked", "mar\u212aed")), (None, CDDL), (4, CDDL),
         (15, "you may not use this file except in compliance with the license common development and distribution license"),
         *[(100 + i, words) for i, (words, _) in enumerate(licenses.TEMPLATES.values())], (200, "fee origin versions altered " * 5000 + CDDL),
     ]
@@ -144,7 +144,7 @@ def test_license_templates(spark):
     by_id = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan_licenses(df).collect()}
     assert [sorted(by_id[i]) for i in (1, 2, 3, 4)] == [["ISC"], ["Zlib"], ["PostgreSQL"], ["CDDL-1.0"]]
     assert "GPL-3.0-or-later" in by_id[5] and "GPL-2.0-or-later" in by_id[6] and "gpl" in by_id[6]
-    assert by_id[7] == by_id[8] == by_id[10] == by_id[13] == {""} and by_id[9] == {"CDDL-1.0"} and by_id[11] == {"ISC", "Zlib"}
+    assert by_id[7] == by_id[8] == by_id[10] == by_id[13] == by_id[17] == {""} and by_id[9] == {"CDDL-1.0"} and by_id[11] == {"ISC", "Zlib"}
     for i, label in enumerate(licenses.TEMPLATES):
         assert label in by_id[100 + i]
     con = duckdb.connect()
