@@ -42,6 +42,7 @@ from invlens.functions.scalars import (
     dept,
     epoch_millis,
     half_even_round,
+    has_windows_path,
     human_size,
     parent_dir,
     path_depth,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF_SMALL
+from invlens.functions.scalars import windows_path
 from invlens.operators.aggregates import merged_histogram, quantiles_of_histogram, two_level_running_totals, value_histogram
 from invlens.operators.compare import changes_by_dept, file_changes
 from invlens.plans import acl, age, capacity, cost, directory, duplicates, export_batch, mergeable, overview, ownership, physical, size, summary
@@ -217,6 +218,15 @@ def test_probe_outcomes_and_remaining_feed(spark, scratch):
     assert rows_of(probes.remaining_feed(inv, phys, RUN)) == [(RUN, "win://h/S/b")]
 
 
+def test_remaining_feed_tests_uris_without_building_paths(spark):
+    uris = ["win://h/S/a", "WIN://H/s/", "win://h/S/100%", "win://h/S/%zz+b", "win://h/S/%FF", "win://h/Shared/x", "win:///S/x", "nfs://h/c", "win://h/S/a\nb", "", None]
+    inv = inventory(spark, [(RUN, u, "/p/", 1, "o") for u in uris])
+    left = probes.remaining_feed(inv, probe_rows(spark, [(RUN, "win://h/S/a", 1, 0)]), RUN)
+    want = inv.where(windows_path("file_uri").isNotNull() & (F.col("file_uri") != "win://h/S/a")).select("run_id", "file_uri")
+    assert rows_of(left) == rows_of(want) and want.count() >= 4
+    assert "url_decode" not in left._jdf.queryExecution().toString().lower()
+
+
 # ------------------------------------------------------------- probe loads
 def _lines(path, name, rows):
     with open(os.path.join(path, name), "w") as fh:
