@@ -38,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def brought(df: DataFrame, name: str):
+    """The rows of a small table, one by one: computed in one job and written, then read in a few jobs, however many partitions there were."""
+    return written(df, name).coalesce(8).toLocalIterator()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

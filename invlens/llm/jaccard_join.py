@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from invlens.llm import _text as X
 from invlens.llm import sketch
-from invlens.llm._store import arrow_map, shuffle_parts, written
+from invlens.llm._store import arrow_map, brought, shuffle_parts, written
 from invlens.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -42,9 +42,18 @@ FOLDED = 8
 MEMBERS = 64
 #: Classes of one token and size that are put in order by one task, about; more are first cut by their least shingle.
 IN_ORDER = 1 << 16
+#: Classes of one token that one task asks for, about, and the parts that a token's classes are dealt to at most.
+ASKERS, PARTS = 1 << 10, 64
 _BLOCK = 16
 
 
+def _few_rows(batches, rows: int = 512):
+    """The batches in slices, so that the shingle sets of few rows are held at once."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+
+
 def _sizes(docs: DataFrame, k: int, cells: int) -> DataFrame:
     """One pass over the texts: per row doc_id, size and 128-bit hash of its shingle set; per task, blocks of a token count sketch."""
 
@@ -52,10 +61,8 @@ def _sizes(docs: DataFrame, k: int, cells: int) -> DataFrame:
         counts = np.zeros(cells, np.uint8)
         names = ["doc_id", "n", "h1", "h2", "block", "data"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for b in batches:
+        for b in _few_rows(batches):
             sets = list(X.shingle_sets(b.column(1), k, X.SPACE_WORD))
-            if not sets:
-                continue
             met, times = np.unique(np.concatenate(sets) & np.uint64(cells - 1), return_counts=True)
             counts[met] = np.minimum(counts[met] + times, 255)
             sums = [_set_hash(s) for s in sets]
@@ -90,7 +97,7 @@ def _frequent(sizes: DataFrame, cells: int) -> np.ndarray:
 
     bits = np.zeros(cells // 8, np.uint8)
     parts = sizes.where(F.col("block").isNotNull()).select("block", "data").repartition(shuffle_parts(spark), "block")
-    for block, data in arrow_map(parts, merge, "block int, data binary").toLocalIterator():
+    for block, data in brought(arrow_map(parts, merge, "block int, data binary"), "frequent"):
         one = np.frombuffer(zlib.decompress(data), np.uint8)
         at = block << (_BLOCK - 3)
         bits[at:at + len(one)] = one
@@ -102,7 +109,7 @@ def _prefixes(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
 
     def run(batches):
         bits = frequent.value
-        for b in batches:
+        for b in _few_rows(batches):
             out, sums, sizes, maps = [], [], [], []
             for s in X.shingle_sets(b.column(1), k, X.SPACE_WORD):
                 n = len(s)
@@ -115,8 +122,7 @@ def _prefixes(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
                 m = np.zeros(64 * BITMAP, np.uint8)
                 m[s % np.uint64(64 * BITMAP)] = 1
                 maps.append(np.packbits(m).view(np.int64))
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array([h[i] for h in sums], np.uint64).view(np.int64)) for i in (0, 1)), X.list_array(out), X.list_array(maps)], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array([h[i] for h in sums], np.uint64).view(np.int64)) for i in (0, 1)), X.list_array(out), X.list_array(maps)], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
 
     return arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits array<long>")
 
@@ -174,8 +180,7 @@ def _again(docs: DataFrame, wanted: DataFrame, k: int, what, column: str) -> Dat
     def run(batches):
         for b in batches:
             b = b.filter(pa.array(sketch.maybe_repeated(bits.value, X.mix(b.column(0).to_numpy().view(np.uint64)))))
-            for lo in range(0, len(b), 256):
-                part = b.slice(lo, 256)
+            for part in _few_rows([b], 256):
                 sets = list(X.shingle_sets(part.column(1), k, X.SPACE_WORD))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), X.list_array([what(s) for s in sets])], ["a", "n", column])
 
@@ -187,6 +192,11 @@ def _missing(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
 
 
+def _missing_of(x: str, y: str):
+    """As ``_missing`` for two bitmaps of ``BITMAP`` longs, as one sum that Spark compiles."""
+    return reduce(Column.__add__, (F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITMAP)))
+
+
 def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps leave room for the overlap that the threshold asks for; a missing token can't be shared."""
     one = maps.select("a", F.col("n").alias("na"), F.col("bits").alias("ma"))
@@ -268,7 +278,8 @@ def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFram
     ``n - missing`` bounds the overlap; with a smaller member (n_b <= n_a) the
     threshold asks for ``percent`` of n_a at least. A token's classes meet its rows, one for about
     ``MEMBERS`` classes, which carry their members along; the bound, and for open rows the members' own
-    bitmaps, are conditions of the join, so only rows with a near member leave it.
+    bitmaps, are conditions of the join, so only rows with a near member leave it. The classes of a frequent
+    token ask in several parts, each of which has all rows of the token.
     Tokens of up to ``MEMBERS`` classes are one row each, see ``_single_row_pairs``.
     """
     few = _single_row_pairs(rows.where(F.col("held") <= MEMBERS), classes, percent)
@@ -278,20 +289,22 @@ def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFram
     cut = F.pmod(F.xxhash64("least"), F.ceil(F.col("held") / IN_ORDER))
     order = Window.partitionBy("token", "band", "cut").orderBy("least", "a")
     at = F.floor((F.row_number().over(order) - 1) / MEMBERS)
-    placed = written(placed.withColumn("cut", cut).select("token", "a", "n", "g", "bits", F.xxhash64("token", "band", "cut", at).alias("row")), "matrix-members")
+    placed = written(placed.withColumn("cut", cut).select("token", "a", "n", "g", "bits", F.xxhash64("token", "band", "cut", at).alias("row"), F.least(F.ceil(F.col("held") / ASKERS), F.lit(PARTS)).alias("parts")), "matrix-members")
     unions = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(BITMAP)]
     member = F.struct(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("bits").alias("mb"))
-    matrix = placed.groupBy("token", "row").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("g").alias("glow"), F.max("g").alias("ghigh"), F.collect_list(member).alias("members"), *unions)
-    matrix = matrix.select(F.col("token").alias("t"), "low", "high", "glow", "ghigh", "members", F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"))
-    ask = placed.select("token", "a", "n", "g", F.col("bits").alias("ma"))
+    matrix = placed.groupBy("token", "row").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("g").alias("glow"), F.max("g").alias("ghigh"), F.max("parts").alias("parts"), F.collect_list(member).alias("members"), *unions)
+    matrix = matrix.select(F.col("token").alias("t"), "low", "high", "glow", "ghigh", "members", F.array(*[f"u{i}" for i in range(BITMAP)]).alias("union"), F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("for"))
+    ask = placed.select("token", "a", "n", "g", F.col("bits").alias("ma"), (F.pmod(F.xxhash64("a"), "parts") + 1).alias("part"))
+    tasks = shuffle_parts(ask.sparkSession)  # given, so that Spark doesn't draw small rows with much work together, whichever side it sends
+    ask, matrix = ask.repartition(tasks, "token", "part"), matrix.repartition(tasks, "t", "for")
     sized = (F.col("low") <= F.col("n")) & (100 * F.col("high") >= percent * F.col("n")) & ~((F.col("glow") == F.col("g")) & (F.col("ghigh") == F.col("g")))
-    opened = sized & (100 * (F.col("n") - _missing("ma", "union")) >= percent * F.col("n"))
+    opened = sized & (100 * (F.col("n") - _missing_of("ma", "union")) >= percent * F.col("n"))
 
     def near(m):
         most = F.least(F.col("n") - _missing("ma", m["mb"]), m["nb"] - _missing(m["mb"], "ma"))
         return (m["nb"] <= F.col("n")) & (F.col("g") != m["gb"]) & _near_sizes("n", m["nb"], percent) & ((100 + percent) * most >= percent * (F.col("n") + m["nb"]))
 
-    met = ask.join(matrix, (F.col("token") == F.col("t")) & opened & F.exists("members", near)).select("a", F.explode(F.filter(F.transform("members", lambda m: F.when(near(m), m["b"])), lambda b: b.isNotNull())).alias("b"))
+    met = ask.join(matrix, (F.col("token") == F.col("t")) & (F.col("part") == F.col("for")) & opened & F.exists("members", near)).select("a", F.explode(F.filter(F.transform("members", lambda m: F.when(near(m), m["b"])), lambda b: b.isNotNull())).alias("b"))
     return few.union(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from invlens.llm._store import arrow_map, shuffle_parts
+from invlens.llm._store import arrow_map, brought, shuffle_parts
 
 #: Cells of one row of a sketch, at most: 32 MB as bits.
 MAX_CELLS = 1 << 28
@@ -90,7 +90,7 @@ def repeated(parts: DataFrame, cells: int, rows: int = 2) -> list[np.ndarray]:
 
     out = [np.zeros(max(1, cells // 8), np.uint8) for _ in range(rows)]
     dealt = parts.repartition(shuffle_parts(spark), "row", "block")
-    for r, k, data in arrow_map(dealt, merge, SCHEMA).toLocalIterator():
+    for r, k, data in brought(arrow_map(dealt, merge, SCHEMA), "sketch"):
         bits = np.frombuffer(zlib.decompress(data), np.uint8)
         at = k << (_BLOCK - 3)
         out[r][at:at + len(bits)] = bits[:len(out[r]) - at]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -355,6 +356,61 @@ def skewed_texts(variants=150, around=300):
     return rows
 
 
+def test_merged_sketch_takes_few_jobs(spark):
+    """A merged sketch comes back in a few jobs, not one for each shuffle partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.sparkContext.setJobGroup("merged-sketch", "test")
+    try:
+        items = spark.range(3000).selectExpr("xxhash64(id % 2000) AS h")
+        bits = sketch.repeated(sketch.partial(items, lambda bs: (b.column(0).to_numpy().view(np.uint64) for b in bs), 1 << 20), 1 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("merged-sketch")) <= 15
+    hashes = np.array([r[0] for r in spark.range(2000).selectExpr("xxhash64(id)").collect()], np.int64).view(np.uint64)
+    hit = sketch.maybe_repeated(bits, hashes)
+    assert hit[:1000].all() and hit[1000:].sum() < 20
+
+
+def test_jaccard_passes_hold_few_sets(monkeypatch):
+    """Both passes over the texts make the shingle sets of a few hundred rows at a time, also of a large batch."""
+    taken, seen, sets = [], [], jaccard_join.X.shingle_sets
+    monkeypatch.setattr(jaccard_join, "arrow_map", lambda df, run, schema: taken.append(run))
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: df)
+    monkeypatch.setattr(jaccard_join.X, "shingle_sets", lambda col, *a, **k: seen.append(len(col)) or sets(col, *a, **k))
+
+    class Sent:
+        value = np.zeros(1 << 17, np.uint8)
+
+    jaccard_join._sizes(None, 5, 1 << 20)
+    jaccard_join._prefixes(None, Sent, 5, 80)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([f"a b c d e {i}" for i in range(3000)])], ["doc_id", "text"])
+    for run in taken:
+        out = [i for b in run(iter([batch])) for i in b.column(0).to_pylist() if i is not None]
+        assert out == list(range(3000))
+    assert sum(seen) == 6000 and max(seen) <= 512
+
+
+def test_jaccard_matrix_in_parts(spark, monkeypatch):
+    """The classes of a frequent token ask in several parts, dealt over the tasks; the pairs are the same."""
+    bits = [[(1 << (i % 7)) | 1, *[0] * (jaccard_join.BITMAP - 1)] for i in range(400)]
+    rows = spark.createDataFrame([(t, i, 3 + i % 2, i // 2, 400) for t in (1, 2) for i in range(400)], "token long, a long, n long, g long, held long")
+    classes = spark.createDataFrame([(i, 3 + i % 2, [i * 31 % 17], bits[i]) for i in range(400)], "a long, n long, prefix array<long>, bits array<long>")
+    got = []
+    for askers in (1 << 10, 50):
+        monkeypatch.setattr(jaccard_join, "ASKERS", askers)
+        got.append({tuple(r) for r in jaccard_join._matrix_pairs(rows, classes, 80).collect()})
+    want = set()
+    for a in range(400):
+        for b in range(a):
+            na, nb, one, two = 3 + a % 2, 3 + b % 2, bits[a][0], bits[b][0]
+            most = min(na - (one & ~two).bit_count(), nb - (two & ~one).bit_count())
+            if a // 2 != b // 2 and 100 * min(na, nb) >= 80 * max(na, nb) and 180 * most >= 80 * (na + nb):
+                want.add((a, b))
+    assert want and got[1] == got[0] and got[0] <= want and {p for p in want if p[0] % 2 == p[1] % 2} <= got[0]
+
+
 def test_jaccard_matrix_stays_small_on_skew(spark):
     """Classes that share tokens without linking: right components, and matrix joins that put out few rows, not the square of a token's classes."""
     rows = skewed_texts()
