@@ -15,9 +15,11 @@ from functools import lru_cache
 #: White space on which Python and the tokenizers library may differ; such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​  ﻿]")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_ENDED = r"(?=[,.;:!?]*(?:\s|\Z))"
-_SPACED = re.compile(rf" ?{_LETTERS}{_ENDED}|[,.;:!?]+(?!\S)| ?\S+|\s+(?!\S)|\s+")
-_BARE = re.compile(rf"{_LETTERS}{_ENDED}|[,.;:!?]+(?!\S)|\S+")
+#: All ASCII punctuation but the apostrophe, with which contractions begin.
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
+_ENDED = rf"(?={_MARKS}*(?:\s|\Z))"
+_SPACED = re.compile(rf" ?{_LETTERS}{_ENDED}|{_MARKS}+(?!\S)| ?\S+|\s+(?!\S)|\s+")
+_BARE = re.compile(rf"{_LETTERS}{_ENDED}|{_MARKS}+(?!\S)|\S+")
 _PLAIN = re.compile(f" ?{_LETTERS}")
 
 

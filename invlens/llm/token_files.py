@@ -44,7 +44,7 @@ MANIFEST = "block int, path string, n_docs long, n_ids long"
 class ShardWriter:
     """Writes one shard to an open binary stream; holds one frame and the index of the shard in memory."""
 
-    def __init__(self, out, frame_ids: int = FRAME_IDS, level: int = 3):
+    def __init__(self, out, frame_ids: int = FRAME_IDS, level: int = 1):
         import zstandard
 
         self.out, self.frame_ids, self.zstd = out, frame_ids, zstandard.ZstdCompressor(level=level, write_checksum=True)

@@ -27,6 +27,16 @@ def test_encoder_equals_library(docs, name, byte_level):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_shares_words_in_front_of_any_punctuation(name, byte_level):
+    path = tokenizer_path(name)
+    plain, own = Tokenizer.from_file(path), WordEncoder(path, byte_level)
+    text = "".join(f" Größe{m * n}" for m in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for n in (1, 3)) + "\n***\nit's 'x' a'$ $' $a .5 5. x\u0301$ $\u0301"
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    pieces = [p for p in own.known if "größe" in p.lower()]
+    assert len(pieces) == (1 if byte_level else 2)  # the lower-casing one keeps the word as written and in lower case
+
+
 def plain_ids(text, name, end):
     return [*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, end]
 
