@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def groups(col: pa.Array, max_bytes: int = 1 << 21):
+def groups(col: pa.Array, max_bytes: int = 1 << 18):
     """(first row, last row + 1, bytes, offsets) for runs of rows of about ``max_bytes``; null texts are empty."""
     col = col.fill_null("").cast(pa.large_string())
     _, off, data = col.buffers()

@@ -44,6 +44,8 @@ MEMBERS = 64
 IN_ORDER = 1 << 16
 #: Classes of one token that one task asks for, about, and the parts that a token's classes are dealt to at most.
 ASKERS, PARTS = 1 << 10, 64
+#: Classes in groups that are sent to all executors (16 bytes each), at most; more are joined by a shuffle.
+SENT_GROUPS = 1 << 18
 _BLOCK = 16
 
 
@@ -54,6 +56,19 @@ def _few_rows(batches, rows: int = 512):
             yield b.slice(lo, rows)
 
 
+def _counts_packed(counts: np.ndarray) -> bytes:
+    """A block of counts, most of them zero or one: a bit per cell, then the counts that are not zero."""
+    met = counts > 0
+    return zlib.compress(np.packbits(met).tobytes() + counts[met].tobytes(), 1)
+
+
+def _counts_unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    counts = np.unpackbits(raw[:1 << (_BLOCK - 3)])
+    counts[counts > 0] = raw[1 << (_BLOCK - 3):]
+    return counts
+
+
 def _sizes(docs: DataFrame, k: int, cells: int) -> DataFrame:
     """One pass over the texts: per row doc_id, size and 128-bit hash of its shingle set; per task, blocks of a token count sketch."""
 
@@ -69,7 +84,7 @@ def _sizes(docs: DataFrame, k: int, cells: int) -> DataFrame:
             none = [None] * len(sets)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([h[i] for h in sums], np.uint64).view(np.int64)) for i in (0, 1)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         for block in np.flatnonzero(counts.reshape(-1, 1 << _BLOCK).any(axis=1)).tolist():
-            data = zlib.compress(counts[block << _BLOCK:(block + 1) << _BLOCK].tobytes(), 1)
+            data = _counts_packed(counts[block << _BLOCK:(block + 1) << _BLOCK])
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, block, data), kinds, strict=True)], names)
 
     return written(arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, block int, data binary"), "shingle-sizes")
@@ -90,7 +105,7 @@ def _frequent(sizes: DataFrame, cells: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                one = np.frombuffer(zlib.decompress(data), np.uint8)
+                one = _counts_unpacked(data)
                 sums[block] = sums[block] + one if block in sums else one.astype(np.uint32)
         for block, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(s >= limit).tobytes(), 1)], pa.binary())], ["block", "data"])
@@ -104,13 +119,33 @@ def _frequent(sizes: DataFrame, cells: int) -> np.ndarray:
     return bits
 
 
-def _prefixes(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """Second pass: per row its set hash, its bitmap and its first tokens in the order (estimated frequent last, then hash)."""
+def _class_key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return X.mix(h1.view(np.uint64) ^ X.mix(h2.view(np.uint64)))
+
+
+def _copied(reps: DataFrame) -> list[np.ndarray]:
+    """Sketch bits of the classes that have several rows."""
+    several = reps.where("held > 1").select("h1", "h2")
+    cells = sketch.cells_for(several.count())
+
+    def keys(batches):
+        for b in batches:
+            yield np.repeat(_class_key(b.column(0).to_numpy(), b.column(1).to_numpy()), 2)
+
+    return sketch.repeated(sketch.partial(several, keys, cells), cells)
+
+
+def _prefixes(docs: DataFrame, frequent, k: int, percent: int, copied=None) -> DataFrame:
+    """Second pass: per row its set hash, its bitmaps and its first tokens in the order (estimated frequent last, then hash).
+
+    ``alone`` rows are the only one of their class; of the others the sketch ``copied`` leaves it open.
+    A set of more tokens than ``bits`` has gets a longer bitmap too.
+    """
 
     def run(batches):
         bits = frequent.value
         for b in _few_rows(batches):
-            out, sums, sizes, maps = [], [], [], []
+            out, sums, sizes, maps, longer = [], [], [], [], []
             for s in X.shingle_sets(b.column(1), k, X.SPACE_WORD):
                 n = len(s)
                 take = n - -(-percent * n // 100) + 1 if n else 0
@@ -119,12 +154,27 @@ def _prefixes(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
                 out.append((np.concatenate([s[~late], s[late]]) if late.any() else s)[:take])
                 sums.append(_set_hash(s))
                 sizes.append(n)
-                m = np.zeros(64 * BITMAP, np.uint8)
-                m[s % np.uint64(64 * BITMAP)] = 1
-                maps.append(np.packbits(m).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array([h[i] for h in sums], np.uint64).view(np.int64)) for i in (0, 1)), X.list_array(out), X.list_array(maps)], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
+                maps.append(_bitmap(s, BITMAP))
+                longer.append(_wide(s, 1) if n > 64 * BITMAP else None)
+            h1, h2 = (np.array([h[i] for h in sums], np.uint64).view(np.int64) for i in (0, 1))
+            alone = ~sketch.maybe_repeated(copied.value, _class_key(h1, h2)) if copied else np.zeros(len(b), bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), X.list_array(out), X.list_array(maps), pa.array(longer, pa.list_(pa.int64())), pa.array(alone)], ["doc_id", "n", "h1", "h2", "prefix", "bits", "longer", "alone"])
 
-    return arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits array<long>")
+    return arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits array<long>, longer array<long>, alone boolean")
+
+
+def _classes(docs: DataFrame, reps: DataFrame, frequent, k: int, percent: int) -> DataFrame:
+    """(a, n, prefix, bits, longer) of each class; only rows that may have copies are shuffled."""
+    copied = docs.sparkSession.sparkContext.broadcast(_copied(reps))
+    rows = written(_prefixes(docs, frequent, k, percent, copied).withColumnRenamed("doc_id", "a").where("n > 0"), "prefixes")
+
+    def open_ones(batches):
+        for b in batches:
+            yield b.filter(pa.array(sketch.maybe_repeated(copied.value, _class_key(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+
+    asked = arrow_map(reps.select("h1", "h2", "n", "a"), open_ones, "h1 long, h2 long, n long, a long")
+    least = written(rows.where("NOT alone").join(asked, ["a", "h1", "h2", "n"], "left_semi").select("a", "n", "prefix", "bits", "longer"), "copied-prefixes")
+    return rows.where("alone").select("a", "n", "prefix", "bits", "longer").unionByName(least)
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
@@ -156,14 +206,17 @@ def _shared_tokens(classes: DataFrame) -> DataFrame:
     return written(rows.join(met, "token"), "shared-tokens")
 
 
-def _wide(s: np.ndarray) -> np.ndarray:
-    """A bitmap of a set with four bits a token or more, its length a power of two, so that a longer one folds onto a shorter."""
-    longs = max(BITMAP, 1 << max(0, (len(s) - 1) // 16).bit_length())
+def _bitmap(s: np.ndarray, longs: int) -> np.ndarray:
     m = np.zeros(64 * longs, np.uint8)
     m[s % np.uint64(64 * longs)] = 1
     return np.packbits(m).view(np.int64)
 
 
+def _wide(s: np.ndarray, each: int = 4) -> np.ndarray:
+    """A bitmap of a set with ``each`` bits a token or more, its length a power of two, so that a longer one folds onto a shorter."""
+    return _bitmap(s, max(BITMAP, 1 << max(0, (len(s) - 1) * each // 64).bit_length()))
+
+
 def _again(docs: DataFrame, wanted: DataFrame, k: int, what, column: str) -> DataFrame:
     """(a, n, ``column``) of the wanted documents, and a few others whose id falls into the same cells: one pass over the texts.
 
@@ -197,12 +250,17 @@ def _missing_of(x: str, y: str):
     return reduce(Column.__add__, (F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITMAP)))
 
 
+def _with_both(pairs: DataFrame, rows: DataFrame, column: Column) -> DataFrame:
+    """Pairs (a, b) with na, ma and nb, mb: size and ``column`` of both. Both selections are alike, so one shuffle of the rows serves them."""
+    one, two = (rows.select(F.col("a").alias(f"k{x}"), F.col("n").alias(f"n{x}"), column.alias(f"m{x}")) for x in "ab")
+    return pairs.join(one, F.col("a") == F.col("ka")).join(two, F.col("b") == F.col("kb"))
+
+
 def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps leave room for the overlap that the threshold asks for; a missing token can't be shared."""
-    one = maps.select("a", F.col("n").alias("na"), F.col("bits").alias("ma"))
-    two = maps.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("mb"))
-    most = F.least(F.col("na") - _missing("ma", "mb"), F.col("nb") - _missing("mb", "ma"))
-    return pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    """The pairs (a, b) of near sizes whose bitmaps leave room for the overlap that the threshold asks for; a missing token can't be shared."""
+    most = F.least(F.col("na") - _folded_missing("ma", "mb"), F.col("nb") - _folded_missing("mb", "ma"))
+    best = F.coalesce("longer", "bits") if "longer" in maps.columns else F.col("bits")
+    return _with_both(pairs, maps, best).where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
 def _folded_missing(x: str, y: str):
@@ -219,18 +277,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         return pairs
     both = lambda p: p.select("a").union(p.select("b")).distinct()
     wide = _again(docs, both(pairs), k, _wide, "bitmaps")
-    one = wide.select("a", F.col("n").alias("na"), F.col("bitmaps").alias("ma"))
-    two = wide.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("bitmaps").alias("mb"))
     most = F.least(F.col("na") - _folded_missing("ma", "mb"), F.col("nb") - _folded_missing("mb", "ma"))
-    near = pairs.join(one, "a").join(two, "b").where(_near_sizes("na", "nb", percent)).where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    near = _with_both(pairs, wide, F.col("bitmaps")).where(_near_sizes("na", "nb", percent)).where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
     pairs = written(near.select("a", "b").distinct(), "near-pairs")
     if pairs.isEmpty():
         return pairs
     sets = _again(docs, both(pairs), k, lambda s: s, "sets")
-    one = sets.select("a", F.col("n").alias("na"), F.col("sets").alias("ta"))
-    two = sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sets").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return written(pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct(), "class-links")
+    shared = F.size(F.array_intersect("ma", "mb"))
+    return written(_with_both(pairs, sets, F.col("sets")).where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct(), "class-links")
 
 
 def _near_sizes(x: str, y: str, percent: int):
@@ -239,8 +293,9 @@ def _near_sizes(x: str, y: str, percent: int):
 
 def _star_pairs(rows: DataFrame, stars: int, percent: int) -> DataFrame:
     """For each token, its classes against a few of them (the least in so many orders), if their sizes can link."""
-    orders = [F.struct(F.xxhash64(F.col("a"), F.lit(i)) if i else F.col("a"), "a") for i in range(stars)]
-    centres = rows.groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(F.struct(F.col("a").alias("b"), F.col("n").alias("nb")), o) for o in orders])).alias("centres"))
+    masks = [F.lit(i * 0x5DEECE66D1B54A32 & (1 << 62) - 1) for i in range(stars)]
+    least = [F.min(F.struct(F.col("a").bitwiseXOR(m).alias("o"), "n")) for m in masks]
+    centres = rows.groupBy("token").agg(F.array_distinct(F.array(*[F.struct(x["o"].bitwiseXOR(m).alias("b"), x["n"].alias("nb")) for x, m in zip(least, masks, strict=True)])).alias("centres"))
     met = rows.join(centres, "token").select("a", "n", F.explode("centres").alias("f")).select("a", "n", "f.*").where((F.col("a") != F.col("b")) & _near_sizes("n", "nb", percent))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -254,6 +309,9 @@ def _groups(links: DataFrame) -> DataFrame:
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Token rows with their class's group, of the tokens that several groups have."""
+    groups = written(groups, "class-groups")
+    if groups.count() <= SENT_GROUPS:  # else the token rows, in order of token, would be shuffled by class in between
+        groups = F.broadcast(groups)
     named = rows.select("token", "a", "n").join(groups, "a", "left").withColumn("g", F.coalesce("g", "a"))
     several = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("held")).where(F.col("lo") < F.col("hi")).select("token", "held")
     return written(named.join(several, "token"), "grouped-tokens")
@@ -262,13 +320,13 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def _single_row_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """As ``_matrix_pairs`` for tokens whose classes are one matrix row: its members meet at once, by bitmaps folded to ``FOLDED`` longs."""
     folded = F.array(*(reduce(Column.bitwiseOR, [F.col("bits")[j] for j in range(i, BITMAP, FOLDED)]) for i in range(FOLDED)))
-    small = rows.join(classes.select("a", folded.alias("s")), "a")
+    small = rows.join(classes.select("a", folded.alias("s")), "a").select("token", "a", "n", "g", "s").repartition("token")  # dealt once for both sides
     one = small.select("token", "a", "n", "g", F.col("s").alias("ma"))
     two = small.select(F.col("token").alias("t"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("s").alias("mb"))
     most = F.least(F.col("n") - _missing("ma", "mb"), F.col("nb") - _missing("mb", "ma"))
     near = (F.col("a") > F.col("b")) & (F.col("g") != F.col("gb")) & _near_sizes("n", "nb", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("nb")))
     pairs = one.join(two, (F.col("token") == F.col("t")) & near).select("a", "b").distinct()
-    return _bounded(pairs, classes.select("a", "n", "bits"), percent)
+    return _bounded(pairs, classes, percent)
 
 
 def _matrix_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -331,18 +389,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     sizes = _sizes(base, k, cells)
     rows = sizes.where(F.col("block").isNull()).select("doc_id", "n", "h1", "h2")
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = written(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("a")), "classes")
+    reps = written(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("held")), "classes")
     frequent = spark.sparkContext.broadcast(_frequent(sizes, cells))
-    first = _prefixes(base.where(F.col("doc_id").isNotNull()), frequent, k, percent)
-    classes = written(first.withColumnRenamed("doc_id", "a").join(reps, ["a", "h1", "h2", "n"], "left_semi").select("a", "n", "prefix", "bits"), "prefixes")
-    shared = _shared_tokens(classes)
-    maps = classes.select("a", "n", "bits")
     texts = base.where(F.col("doc_id").isNotNull())
-    links = _verified(_bounded(_star_pairs(shared, stars, percent), maps, percent), texts, k, percent)
+    classes = _classes(texts, reps, frequent, k, percent)
+    shared = _shared_tokens(classes)
+    links = _verified(_bounded(_star_pairs(shared, stars, percent), classes, percent), texts, k, percent)
     rest = _grouped(shared, _groups(links))
     if not rest.isEmpty():
         links = links.unionByName(_verified(_matrix_pairs(rest, classes, percent), texts, k, percent))
     groups = components(links)
-    of_class = reps.join(groups.withColumnRenamed("node", "a"), "a", "left").select("h1", "h2", "n", F.coalesce("component", "a").alias("component"))
+    of_class = reps.drop("held").join(groups.withColumnRenamed("node", "a"), "a", "left").select("h1", "h2", "n", F.coalesce("component", "a").alias("component"))
     out = rows.join(of_class, ["h1", "h2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("c"))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").cast(kind).alias("component_id"))

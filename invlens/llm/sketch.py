@@ -34,6 +34,17 @@ def cell(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (part & np.uint64(cells - 1)).astype(np.uint32)
 
 
+def _packed(offsets: np.ndarray) -> bytes:
+    """Ascending offsets as their differences, low bytes first and apart from the others, which are mostly zero."""
+    steps = np.diff(offsets, prepend=np.uint32(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def partial(items: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int, rows: int = 2) -> DataFrame:
     """Each task's cells: per sketch row and block the distinct offsets met, those met twice or more listed twice."""
 
@@ -52,7 +63,7 @@ def partial(items: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
                 block = found >> np.uint32(_BLOCK)
                 cut = np.flatnonzero(np.diff(block, prepend=np.uint32(0xFFFFFFFF)))
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(found)], strict=True):
-                    yield r, int(block[a]), (found[a:b] & np.uint32((1 << _BLOCK) - 1)).tobytes()
+                    yield r, int(block[a]), _packed(found[a:b] & np.uint32((1 << _BLOCK) - 1))
 
         def batch(rows_):
             r, b, c = zip(*rows_, strict=True)
@@ -61,7 +72,7 @@ def partial(items: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
         for h in hashes(batches):
             held.append(h)
             size += len(h)
-            if size > 1 << 21:
+            if size > 1 << 19:
                 if out := list(flush()):
                     yield batch(out)
         if out := list(flush()):
@@ -79,7 +90,7 @@ def repeated(parts: DataFrame, cells: int, rows: int = 2) -> list[np.ndarray]:
         for b in batches:
             for r, k, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 total = seen.setdefault((r, k), np.zeros(1 << _BLOCK, np.uint8))
-                found = np.frombuffer(data, np.uint32)
+                found = _unpacked(data)
                 again = np.flatnonzero(found[1:] == found[:-1])
                 total[found[again]] = 2
                 once = np.delete(found, np.concatenate([again, again + 1])) if len(again) else found

@@ -392,6 +392,52 @@ def test_jaccard_passes_hold_few_sets(monkeypatch):
     assert sum(seen) == 6000 and max(seen) <= 512
 
 
+def test_jaccard_shuffles_only_rows_with_copies(spark, tmp_path, monkeypatch):
+    """A text without copies goes from the second pass to the classes as it is; copies and repeated rows go through the join; the classes are the same."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(400)] + [(900, "same text of six words here"), (901, "same text of six words here"), (5, "same text of six words here"), (902, ""), (903, None), (904, "short"), (904, "short")]
+    kept, written = {}, jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: kept.setdefault(name, written(df, name)) if name != "links" else written(df, name))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in got.collect())[(901, 2, 5)] == 1
+    classes = kept["prefixes"]
+    assert {r[0] for r in classes.where("alone").select("a").collect()} >= set(range(400)) - {5}
+    assert sorted(r[0] for r in kept["copied-prefixes"].select("a").collect()) == [5, 904, 904]
+
+
+def test_jaccard_bounds_large_sets_by_longer_bitmaps(spark):
+    """Sets of more tokens than the short bitmap has bits fill it and say nothing; unlike ones are parted by the longer one, near ones stay."""
+    some = np.random.default_rng(1).integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = {1: some[:6000], 2: some[100:6000], 3: some[3000:9000]}
+    assert jaccard_join._wide(sets[1], 1).size > jaccard_join.BITMAP
+    full = {a: jaccard_join._bitmap(s, jaccard_join.BITMAP).tolist() for a, s in sets.items()}
+    maps = [(a, len(s), full[a], jaccard_join._wide(s, 1).tolist()) for a, s in sets.items()]
+    kinds = "a long, n long, bits array<long>, longer array<long>"
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
+    bounded = lambda rows: {tuple(r) for r in jaccard_join._bounded(pairs, spark.createDataFrame(rows, kinds), 80).collect()}
+    assert bounded(maps) == {(2, 1)}
+    assert bounded([(a, n, bits, None) for a, n, bits, _ in maps]) == {(2, 1), (3, 1), (3, 2)}
+
+
+def test_jaccard_groups_sent_or_shuffled(spark, monkeypatch):
+    """Few groups go to the token rows by broadcast, many by a shuffle; the rows are the same."""
+    rows = spark.createDataFrame([(t, a, 9) for t in range(4) for a in range(t, 12)], "token long, a long, n long")
+    groups = spark.createDataFrame([(a, 3) for a in range(3, 12)], "a long, g long")
+    sent = Counter(map(tuple, jaccard_join._grouped(rows, groups).select("token", "a", "n", "g", "held").collect()))
+    monkeypatch.setattr(jaccard_join, "SENT_GROUPS", 2)
+    assert sent == Counter(map(tuple, jaccard_join._grouped(rows, groups).select("token", "a", "n", "g", "held").collect()))
+    assert sent == Counter((t, a, 9, 3 if a >= 3 else a, 12 - t) for t in range(3) for a in range(t, 12))
+
+
+def test_sketch_cells_and_counts_pack():
+    for x in ([0], [0, 0, 5], [262143], [1, 1, 2, 2, 70000, 262143]):
+        assert sketch._unpacked(sketch._packed(np.array(x, np.uint32))).tolist() == x
+    dense = np.sort(np.random.default_rng(2).integers(0, 1 << 18, 20000).astype(np.uint32))
+    assert len(sketch._packed(dense)) < 2 * len(dense)  # four bytes each before
+    counts = np.zeros(1 << jaccard_join._BLOCK, np.uint8)
+    counts[::7], counts[5] = 1, 255
+    assert (jaccard_join._counts_unpacked(jaccard_join._counts_packed(counts)) == counts).all()
+
+
 def test_jaccard_matrix_in_parts(spark, monkeypatch):
     """The classes of a frequent token ask in several parts, dealt over the tasks; the pairs are the same."""
     bits = [[(1 << (i % 7)) | 1, *[0] * (jaccard_join.BITMAP - 1)] for i in range(400)]
