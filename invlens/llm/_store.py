@@ -68,8 +68,23 @@ def commit_file(uri: str, write) -> None:
     store.move(temp, path)
 
 
+def give_back() -> None:
+    """Hands memory that Arrow's and C's allocators hold for later use back to the system; Spark keeps a worker process after its task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package shipped to the executors first, as ``--py-files`` would; once per session."""
+    """``df.mapInArrow`` with this package shipped to the executors first, as ``--py-files`` would; once per session.
+
+    A worker gives back what a task no longer needs, so that idle workers and
+    the steps after it are not charged with the largest step so far.
+    """
     sc = df.sparkSession.sparkContext
     if not getattr(sc, "_invlens_shipped", False):
         import zipfile
@@ -82,4 +97,11 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
                 z.write(p, str(p.relative_to(root.parent)))
         sc.addPyFile(archive)
         sc._invlens_shipped = True
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)

@@ -1,9 +1,10 @@
-"""Whole-text encoding with the tokenizers library, each distinct word once per worker.
+"""Whole-text encoding with the tokenizers library, each distinct word once per task.
 
 Both vocabularies cut a text into pieces that never cross certain places (see
 ``WordEncoder``), and the ids of a text are the ids of those pieces in order.
-A worker keeps the ids of the pieces it has met, in two generations of bounded
-size, so a frequent word is looked up and only new words are encoded.
+A task keeps the ids of the pieces it has met, in two generations of bounded
+size, so a frequent word is looked up and only new words are encoded; it
+forgets them at its end, as the worker process stays for all steps after it.
 """
 
 from __future__ import annotations
@@ -83,6 +84,11 @@ class WordEncoder:
             mapped = piece.encode().decode("latin-1").translate(self.table)
         return array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
 
+    def forget(self) -> None:
+        """Drops the pieces met; the vocabulary stays loaded."""
+        self.known.clear()
+        self.known.old = {}
+
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:

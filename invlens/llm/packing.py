@@ -123,16 +123,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     def cut(batches):
         import zlib
 
-        encode = encoder(tokenizer_path, byte_level).ids
+        own = encoder(tokenizer_path, byte_level)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:len(names)]
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+                ids = own.ids(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(names)])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
+        own.forget()
 
     return arrow_map(docs.select("doc_id", "text"), cut, schema)
 

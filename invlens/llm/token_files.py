@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, byte_level: bool = T
     end = np.asarray([end_id], "<u4").tobytes()
 
     def write(batches):
-        encode = encoder(tokenizer_path, byte_level).ids
+        own = encoder(tokenizer_path, byte_level)
         rows, ended = _rows(batches, ["doc_id", "text", BLOCK]), object()
         row = next(rows, ended)
         while row is not ended:
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, byte_level: bool = T
                 nonlocal row
                 shard = ShardWriter(stream)
                 while row is not ended and row[2] == block:
-                    shard.add(row[0], encode(row[1]) + end)
+                    shard.add(row[0], own.ids(row[1]) + end)
                     counts[0] += 1
                     row = next(rows, ended)
                 shard.close()
@@ -167,6 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, byte_level: bool = T
 
             commit_file(path, fill)
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "path": [path], "n_docs": pa.array([counts[0]], pa.int64()), "n_ids": pa.array([counts[1]], pa.int64())})
+        own.forget()
 
     dealt = frame.repartitionByRange(n + 1, BLOCK).sortWithinPartitions(BLOCK, F.col("doc_id").asc_nulls_first(), "text")
     return arrow_map(dealt, write, MANIFEST)

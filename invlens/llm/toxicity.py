@@ -325,14 +325,16 @@ class Scorer:
                 self._reset()
                 new = list(dict.fromkeys(words))
             while self.used + len(new) + 1 > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                grown = np.zeros((2 * len(self.table), 6 * HIDDEN), np.float32)  # rows not used yet take no memory
+                grown[:self.used] = self.table[:self.used]
+                self.table = grown
             self.table[self.used:self.used + len(new)] = self.net.inputs(new)
             self.index.update(zip(new, range(self.used, self.used + len(new)), strict=True))
             self.used += len(new)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def scores(self, texts: list[str | None], chunk: int = 2048) -> np.ndarray:
-        """The greatest window score of each text; a text without words is one empty window."""
+    def scores(self, texts: list[str | None] | pa.Array, chunk: int = 2048) -> np.ndarray:
+        """The greatest window score of each text; a text without words is one empty window. Of an Arrow column few texts are Python strings at a time."""
         if self.net.constant is not None:
             return np.full(len(texts), self.net.constant)
         out = np.zeros(len(texts))
@@ -340,7 +342,7 @@ class Scorer:
         while lo < len(texts):
             hi, held, lists = lo, 0, []
             while hi < len(texts) and held < 50_000:
-                lists.append(words_of(texts[hi]))
+                lists.append(words_of(texts[hi].as_py() if isinstance(texts, pa.Array) else texts[hi]))
                 held += len(lists[-1])
                 hi += 1
             ids = self._ids([w for ws in lists for w in ws])
@@ -394,7 +396,7 @@ def score_toxicity(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches):
         scorer = Scorer(sent.value)
         for b in batches:
-            s = scorer.scores(b.column(at).to_pylist()).astype(np.float64)
+            s = scorer.scores(b.column(at)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType

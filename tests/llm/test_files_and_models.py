@@ -2,16 +2,19 @@
 
 import hashlib
 import io
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from invlens.llm import chat, packing, token_files, toxicity, warc
-from invlens.llm._tokens import WordEncoder
+from invlens.llm._store import arrow_map
+from invlens.llm._tokens import WordEncoder, encoder
 from invlens.llm.queries import oracle, queries, tokenizer_path
 
 from llm_fixtures import HARD, SF, docs, hard, no_docs  # noqa: F401
@@ -37,6 +40,40 @@ def test_encoder_shares_words_in_front_of_any_punctuation(name, byte_level):
     assert len(pieces) == (1 if byte_level else 2)  # the lower-casing one keeps the word as written and in lower case
 
 
+@pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_workers_forget_words_after_a_task(docs, name, byte_level):
+    path = tokenizer_path(name)
+    (token_files.write_token_files if byte_level else packing.pieces)(docs, path, byte_level=byte_level).collect()
+
+    def held(batches):
+        known = encoder(path, byte_level).known
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(known) + len(known.old)]})
+
+    assert {r["n"] for r in docs.sparkSession.range(0, 64, 1, 32).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_workers_give_back_memory_after_a_task(docs):
+    def mb():
+        return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) / 1024
+
+    def seen(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [mb()]})
+
+    def fill(batches):
+        for b in batches:
+            before, many = mb(), [bytes(1000) for _ in range(200_000)]
+            pa._kept_by_test = [bytes(1000) for _ in range(64)]  # allocated last, so that C's allocator cannot shrink its heap by itself
+            assert len(many) and mb() > before + 150
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [before]})
+
+    spark = docs.sparkSession
+    (pid, before), = arrow_map(spark.range(0, 1, 1, 1), fill, "pid long, mb double").collect()
+    after = [r["mb"] for r in spark.range(0, 64, 1, 32).mapInArrow(seen, "pid long, mb double").collect() if r["pid"] == pid]
+    assert after and max(after) < before + 75
+
+
 def plain_ids(text, name, end):
     return [*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, end]
 
@@ -252,6 +289,14 @@ def test_toxicity_scorer_equals_plain_loop(network, docs):
     assert np.allclose(small.scores(texts), got, atol=1e-6)
 
 
+def test_toxicity_scorer_of_an_arrow_column(network):
+    texts = [None, "", *(" ".join(f"w{i}x{j}" for j in range(i % 90)) for i in range(500))]
+    scorer = toxicity.Scorer(network)
+    got = scorer.scores(pa.array(texts, pa.string()))
+    assert np.array_equal(got, toxicity.Scorer(network).scores(texts))
+    assert scorer.used < len(scorer.table) and not scorer.table[scorer.used:].any()
+
+
 def test_toxicity_words():
     assert toxicity.words_of("An id1ot, 2nd 1234 x_y É!") == ["an", "id1ot", "2nd", "x", "y", "é"]
     run = "".join(chr(0x4E00 + i) for i in range(100))
